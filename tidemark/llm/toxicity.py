@@ -4,7 +4,8 @@ A word's input is its own vector (words seen in training often enough; all other
 the mean vector of its character trigrams, so unseen spellings still score. Texts are read in
 overlapping windows of words; a text's score is the calibrated maximum over all its windows. Training
 takes, for each labelled text, its currently highest windows (toxic words are few in a long text), so
-hard clean windows are learnt too."""
+hard clean windows are learnt too. Inputs are dropped at random and vectors decay, so that few texts
+suffice."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from ._text import LOWER, Rolling, batch, blocks, ranges, words
 
-WIDTH, STEP = 32, 16
+WIDTH, STEP = 32, 24
 BUCKETS = 4096
 #: ASCII marks count as white space here, but letters are lower-cased first.
 _FOLD = LOWER.copy()
@@ -61,7 +62,7 @@ def _sigmoid(x):
 class Network:
     """Parameters in self.p: vectors of words and trigrams, two gated recurrent layers, attention, output."""
 
-    def __init__(self, vocabulary: np.ndarray, rng, dim: int = 12, hidden: int = 10):
+    def __init__(self, vocabulary: np.ndarray, rng, dim: int = 12, hidden: int = 8):
         self.vocabulary, self.hidden = vocabulary, hidden
         f = lambda *s, k=0.1: rng.normal(0, k, s).astype(np.float32)
         self.p = {"word": f(len(vocabulary) + 1, dim), "gram": f(BUCKETS, dim, k=0.3), "wa": f(2 * hidden, 8, k=0.3), "va": f(8, k=0.3), "wo": f(2 * hidden, k=0.3), "bo": np.zeros(1, np.float32)}
@@ -168,7 +169,7 @@ def pick(w: Words, start, end):
     return which, index.reshape(at.shape), mask
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 3, epochs: int = 3, rate: float = 0.01) -> Network:
+def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 2, least_steps: int = 300, drop: float = 0.25, decay: float = 0.02, rate: float = 0.01) -> Network:
     """Fit on whole texts. Without texts of both classes, a network whose every score is the share of toxic texts."""
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, np.float32)
@@ -197,7 +198,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 3,
         rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         pos = order[(rank < 1) & (labels[text[order]] == 1)]
         neg = order[(rank < 2) & (labels[text[order]] == 0)]
-        for _ in range(epochs):
+        for _ in range(max(3, -(-least_steps * 64 // (rounds * (6 * len(pos) + 64))))):
             extra = rng.choice(np.flatnonzero(labels[text] == 0), len(pos))
             good = rng.permutation(np.concatenate([neg, extra]))[: 4 * len(pos) + 64]
             use = rng.permutation(np.concatenate([pos, pos, good]))
@@ -205,7 +206,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 3,
                 u = use[i : i + 64]
                 which, index, mask = pick(w, start[u], end[u])
                 x, (ids, grams, n) = net.inputs(w, which)
-                _, g, dx = net.gradients(x, index, mask, labels[text[u]])
+                kept = (rng.random(x.shape) >= drop).astype(np.float32) / np.float32(1 - drop)
+                _, g, dx = net.gradients(x * kept, index, mask, labels[text[u]])
+                dx = dx * kept
                 D = net.p["word"].shape[1]
                 g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
                 np.add.at(g["word"], ids, dx[:, :D])
@@ -214,6 +217,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 3,
                 for k in net.p:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
                     v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
+                    if k in ("word", "gram"):
+                        net.p[k] *= 1 - rate * decay
                     net.p[k] -= (rate * (m[k] / (1 - 0.9**steps)) / (np.sqrt(v[k] / (1 - 0.99**steps)) + 1e-6)).astype(np.float32)
         value = net.score_windows(w, start, end)
     best = np.full(len(texts), -12.0)
@@ -234,7 +239,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 3000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 800, clean_rows: int = 1600) -> Network:
     """A network from a bounded sample of labelled rows outside the held-out third: at most toxic_rows
     and clean_rows texts, those with the smallest hash of their doc_id. Null labels, ids and texts are
     left out; of repeated ids one counts."""
