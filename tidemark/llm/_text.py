@@ -111,3 +111,29 @@ class Sequence:
     def runs(self, start: np.ndarray, length) -> np.ndarray:
         x = (self.sums[start + length] - self.sums[start]) * self.inverse[start]
         return mix(x + np.asarray(length, np.uint64))
+
+
+def whole_runs(batches, keys: int):
+    """Record batches sorted by their first `keys` columns, cut so that no run of equal keys is split:
+    (batch, where runs begin, and its end)."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+        b = t.to_batches()[0]
+        at = _starts(b, keys)
+        if at[-1]:
+            yield b.slice(0, at[-1]), np.asarray(at)
+        held = b.slice(at[-1])
+    if held is not None and held.num_rows:
+        yield held, np.append(_starts(held, keys), held.num_rows)
+
+
+def _starts(b: pa.RecordBatch, keys: int) -> np.ndarray:
+    new = np.zeros(b.num_rows, bool)
+    new[0] = True
+    for k in range(keys):
+        x = np.asarray(b.column(k))
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
