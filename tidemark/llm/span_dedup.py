@@ -2,7 +2,7 @@
 
 Which texts to compare. Every window of `least` bytes has an anchor: the leftmost smallest hash among
 its grams of GRAM bytes. Equal windows have equal anchors at equal places, so only contexts (the
-bytes around an anchor that its windows can reach) with the same anchor need comparing. Contexts
+bytes that an anchor's windows cover) with the same anchor need comparing. Contexts
 that are equal as a whole are settled by their smallest position, by aggregation, and only one of
 each goes on; so a text copied a million times is compared once.
 
@@ -32,7 +32,7 @@ _SPANS = pa.schema([("o", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, least: int):
-    """(text, place in the text, bytes to the right of the place in the context, hash, context's hash)."""
+    """(text, where the anchor's windows begin in it, bytes that they cover, anchor's hash, hash of those bytes)."""
     n, reach = len(data), least - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < least:
@@ -52,14 +52,15 @@ def anchors(data: np.ndarray, offs: np.ndarray, least: int):
     long_ = size >= least
     np.add.at(inside, offs[:-1][long_], 1)
     np.add.at(inside, offs[1:][long_] - least + 1, -1)
-    best = best[np.cumsum(inside)[: len(best)] > 0]
-    place = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    place = place[np.append(True, place[1:] != place[:-1])] if len(place) else place
+    own = np.flatnonzero(np.cumsum(inside)[: len(best)] > 0)
+    if not len(own):
+        return none, none, none, none, none
+    place = (best[own] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    edge = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    place, start, end = place[edge], own[edge], own[np.append(edge[1:], len(own)) - 1] + least
     text = np.searchsorted(offs, place, "right") - 1
-    start = np.maximum(offs[text], place - (least - GRAM))
-    end = np.minimum(offs[text + 1], place + least)
     ctx = rolling.spans(start, end) ^ mix((place - start).astype(np.uint64))
-    return text, place - offs[text], end - place, h[place].view(np.int64), ctx.view(np.int64)
+    return text, start - offs[text], end - start, h[place].view(np.int64), ctx.view(np.int64)
 
 
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
@@ -168,26 +169,26 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = 20_000, load:
     """(o, s, e): bytes s to e-1 of row o are covered by strings of `least` bytes that start earlier too.
     Spans may overlap. hot: contexts of one anchor beyond which its windows are settled one by one, by
     aggregation on their hashes, instead of by one task. load: bytes that a task compares at once."""
-    near, unit = least - GRAM, 1 << least.bit_length()
+    unit = 1 << least.bit_length()
 
     def find(b):
         for i, j, data, offs in blocks(b.column(1)):
-            text, place, right, h, ctx = anchors(data, offs, least)
-            yield batch(_ANCHORS, h, ctx, b.column(0).take(pa.array(i + text)), place * unit + right)
+            text, start, size, h, ctx = anchors(data, offs, least)
+            yield batch(_ANCHORS, h, ctx, b.column(0).take(pa.array(i + text)), start * unit + size - least)
 
     every = map_arrow(docs.select("o", "text"), find, "hash long, ctx long, o long, at long")
     met = every.withColumn("_n", F.count("*").over(W.partitionBy("hash"))).filter("_n > 1").drop("_n")
     met = stage(met, "anchors")
     first = met.groupBy("hash", "ctx").agg(F.min(F.struct("o", "at")).alias("f"))
     first = stage(first.select("hash", "ctx", F.col("f.o").alias("o"), F.col("f.at").alias("at")), "contexts")
-    place, right = F.floor(F.col("at") / unit), F.col("at") % unit
-    start = F.greatest(place - near, F.lit(0))
+    start = F.shiftright("at", least.bit_length())
+    end = start + F.col("at") % unit + least
     # equal contexts: all but the first go as a whole
     copies = met.join(first.select("hash", "ctx", F.col("o").alias("_o"), F.col("at").alias("_at")), ["hash", "ctx"]).filter("o <> _o or at <> _at")
-    copies = copies.select("o", start.alias("s"), (place + right).alias("e"))
+    copies = copies.select("o", start.alias("s"), end.alias("e"))
     # different contexts of one anchor
     several = first.groupBy("hash").agg(F.count("*").alias("d")).filter("d > 1")
-    asked = first.join(several, "hash").select("o", F.struct("hash", start.alias("s"), (place + right).alias("e"), (F.col("d") > hot).alias("hot")).alias("x"))
+    asked = first.join(several, "hash").select("o", F.struct("hash", start.alias("s"), end.alias("e"), (F.col("d") > hot).alias("hot")).alias("x"))
     asked = asked.groupBy("o").agg(F.collect_list("x").alias("x"))  # at most one a GRAM bytes or so of a text
     fetched = docs.select("o", "text").join(asked, "o")
     schema = pa.schema([("hash", pa.int64()), ("o", pa.int64()), ("s", pa.int64()), ("context", pa.binary()), ("hot", pa.bool_())])
