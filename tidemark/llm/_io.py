@@ -38,7 +38,7 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     """mapInArrow for f(batch) -> iterable of record batches."""
 
     def run(batches):

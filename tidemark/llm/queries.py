@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op4
 from .html_extract import op5
 from .near_dedup import op1
 from .packing import op9
@@ -14,7 +15,7 @@ from .warc import op6
 
 
 def queries() -> dict:
-    out = {"op1_minhash_dedup": op1, "op2_shard": op2, "op3_token_shards": op3}
+    out = {"op1_minhash_dedup": op1, "op2_shard": op2, "op3_token_shards": op3, "op4_decontaminate": op4}
     out |= {"op5_main_text": op5, "op6_warc": op6, "op7_toxicity": op7, "op8_quality": op8, "op9_pack": op9, "op10_span_dedup": op10}
     return out
 

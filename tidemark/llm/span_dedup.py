@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._io import map_arrow, stage
 from ._text import Rolling, batch, blocks, mix, ranges, whole_runs
@@ -155,28 +156,29 @@ def repeats(contexts: list[np.ndarray], doc: np.ndarray, start: np.ndarray, leas
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text, o: a number of its own for each row, in the order of doc_id. Where ids are unique and
+    """docs with _o: a number of its own for each row, in the order of doc_id. Where ids are unique and
     never null, that is doc_id itself; else rows are numbered by doc_id (null last) and a hash of the text."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
-        return docs.withColumn("o", F.col("doc_id"))
+        return docs.withColumn("_o", F.col("doc_id").cast("long"))
     keyed = docs.withColumn("_null", F.col("doc_id").isNull()).withColumn("_t", F.xxhash64("text"))
-    base = stage(keyed.repartitionByRange("_null", "doc_id", "_t").sortWithinPartitions("_null", "doc_id", "_t").withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    return base.select("doc_id", "text", F.col("_row").alias("o"))
+    ranged = keyed.repartitionByRange("_null", "doc_id", "_t").sortWithinPartitions("_null", "doc_id", "_t")
+    return stage(ranged.drop("_null", "_t").withColumn("_o", F.monotonically_increasing_id()), "numbered")
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = 20_000, load: int = 1 << 21) -> DataFrame:
-    """(o, s, e): bytes s to e-1 of row o are covered by strings of `least` bytes that start earlier too.
+    """(o, s, e): bytes s to e-1 of row _o are covered by strings of `least` bytes that start earlier too.
     Spans may overlap. hot: contexts of one anchor beyond which its windows are settled one by one, by
     aggregation on their hashes, instead of by one task. load: bytes that a task compares at once."""
     unit = 1 << least.bit_length()
+    docs = docs.select(F.col("_o").alias("o"), "text")
 
     def find(b):
         for i, j, data, offs in blocks(b.column(1)):
             text, start, size, h, ctx = anchors(data, offs, least)
             yield batch(_ANCHORS, h, ctx, b.column(0).take(pa.array(i + text)), start * unit + size - least)
 
-    every = map_arrow(docs.select("o", "text"), find, "hash long, ctx long, o long, at long")
+    every = map_arrow(docs, find, "hash long, ctx long, o long, at long")
     met = every.withColumn("_n", F.count("*").over(W.partitionBy("hash"))).filter("_n > 1").drop("_n")
     met = stage(met, "anchors")
     first = met.groupBy("hash", "ctx").agg(F.min(F.struct("o", "at")).alias("f"))
@@ -190,7 +192,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = 20_000, load:
     several = first.groupBy("hash").agg(F.count("*").alias("d")).filter("d > 1")
     asked = first.join(several, "hash").select("o", F.struct("hash", start.alias("s"), end.alias("e"), (F.col("d") > hot).alias("hot")).alias("x"))
     asked = asked.groupBy("o").agg(F.collect_list("x").alias("x"))  # at most one a GRAM bytes or so of a text
-    fetched = docs.select("o", "text").join(asked, "o")
+    fetched = docs.join(asked, "o")
     schema = pa.schema([("hash", pa.int64()), ("o", pa.int64()), ("s", pa.int64()), ("context", pa.binary()), ("hot", pa.bool_())])
 
     def cut(b):
@@ -227,37 +229,40 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = 20_000, load:
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, hot: int = 20_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes as text; characters that
-    a cut broke are dropped from it). One row a row; a null text is empty. Rows with equal doc_id count
-    as documents in the order of a hash of their text; a null doc_id comes last."""
-    docs = _numbered(docs)
-    spans = repeated_spans(docs, least, hot).groupBy("o").agg(F.collect_list(F.struct("s", "e")).alias("x"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+    """docs with text cut (characters that a cut broke are dropped from it), and n_bytes, n_removed, n_spans
+    and kept_sha256 (of the remaining bytes). One row a row; a null text is empty. Rows with equal doc_id
+    count as documents in the order of a hash of their text; a null doc_id comes last. Columns of docs by
+    the new names are replaced, all others stay."""
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    docs = _numbered(docs.drop(*made))
+    spans = repeated_spans(docs, least, hot).groupBy("o").agg(F.collect_list(F.struct("s", "e")).alias("_x"))
+    joined = docs.join(spans, F.col("_o") == F.col("o"), "left").drop("_o", "o")
+    names = joined.columns[:-1]
+    at = names.index("text")
 
     def cut(b):
         out = []
-        for k, text in enumerate(b.column(1)):
+        for text, x in zip(b.column(at), b.column(len(names)), strict=True):
             raw = text.as_py().encode()
-            n, x = len(raw), b.column(2)[k]
-            removed = runs = 0
+            n, runs = len(raw), 0
             if x.is_valid:
-                pairs = sorted((y["s"], y["e"]) for y in x.as_py())
-                parts, at, end = [], 0, -1
-                for s, e in pairs:
+                parts, begin, end = [], 0, -1
+                for s, e in sorted((y["s"], y["e"]) for y in x.as_py()):
                     if s > end:
-                        parts.append(raw[at:s])
+                        parts.append(raw[begin:s])
                         runs += 1
-                    end = max(end, e)
-                    at = end
-                parts.append(raw[at:])
-                raw = b"".join(parts)
-                removed = n - len(raw)
-            out.append((n, removed, runs, hashlib.sha256(raw).hexdigest(), raw.decode("utf-8", "ignore")))
-        yield batch(schema, b.column(0), *zip(*out, strict=True))
+                    begin = end = max(end, e)
+                raw = b"".join([*parts, raw[begin:]])
+            out.append((raw.decode("utf-8", "ignore"), n, n - len(raw), runs, hashlib.sha256(raw).hexdigest()))
+        text, *rest = zip(*out, strict=True)
+        columns = [*b.columns[:at], pa.array(text, pa.string()), *b.columns[at + 1 : len(names)], *(pa.array(r, pa.int64()) for r in rest[:3]), pa.array(rest[3], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*names, *made])
 
-    joined = docs.join(spans, "o", "left").select("doc_id", "text", "x")
-    return map_arrow(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    fields = [f for f in joined.schema.fields if f.name != "_x"]
+    more = [T.StructField(n, T.LongType()) for n in made[:3]] + [T.StructField(made[3], T.StringType())]
+    return map_arrow(joined, cut, T.StructType([*fields, *more]))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return remove_repeats(docs).drop("text")
