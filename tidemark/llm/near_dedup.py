@@ -9,7 +9,8 @@ with probability 0.25, and more than 23 of 48 do with probability below 2e-4 (fe
 Documents with equal sets stand behind one representative. Under a key, pairs within RADIUS are
 looked for in blocks of bounded size, and members with a partner fetch their whole sets; there the
 exact test is made and only a spanning star of each linked group leaves the task. So what is
-shuffled grows with the members, not with the pairs; no partner is dropped."""
+shuffled grows with the members, not with the pairs; no partner is dropped. What is joined here has no
+size bound, so nothing is broadcast, at any size."""
 
 from __future__ import annotations
 
@@ -219,7 +220,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for i, j, data, offs in blocks(b.column(1)):
             yield batch(schema, b.column(0).slice(i, j - i), [x.tobytes() for x in shingle_sets(data, offs)])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     return map_arrow(rows, run, "rep long, set binary")
 
 
@@ -236,16 +237,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 1024) -> Da
     reps = stage(reps, "reps")
     all_keys = keys(reps)
     shared = all_keys.groupBy("key").count().filter("count > 1")
-    met = all_keys.join(shared, "key")
+    met = all_keys.join(shared.hint("merge"), "key")
     many = F.ceil(F.col("count") / block).cast("int")
     met = met.withColumn("_nb", many).withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_nb")).cast("int"))
     met = met.withColumn("_o", F.explode(F.when(F.col("_nb") > 1, F.sequence(F.lit(0), F.col("_nb") - 1)).otherwise(F.array("_b"))))
     met = met.select("key", F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"), "code", "rep")
-    rows = met.join(reps.select("rep", "n", "sig"), "rep").select("key", "bi", "bj", "code", "rep", "n", "sig")
+    rows = met.join(reps.select("rep", "n", "sig").hint("merge"), "rep").select("key", "bi", "bj", "code", "rep", "n", "sig")
     rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     members = stage(rows.mapInArrow(_find_members, "key long, bi int, bj int, rep long"), "members")
     sets = whole_sets(docs, members.select("rep").distinct())
-    full = members.join(sets, "rep").select("key", "bi", "bj", "rep", "set").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
+    full = members.join(sets.hint("merge"), "rep").select("key", "bi", "bj", "rep", "set").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
     edges = full.mapInArrow(_confirm(percent), "a long, b long")
     found = stage(components(edges), "components")
     placed = sk.join(reps.select("digest", "rep"), "digest", "left").join(found, F.col("rep") == found["node"], "left")
