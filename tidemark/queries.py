@@ -370,6 +370,44 @@ def streaming_lww(spark, d):
     return run_once(spark, d)
 
 
+@query("SELECT key, arg_max(value, arrival) AS value, max(arrival) AS last FROM (SELECT key, coalesce(value, '-') AS value, arrival FROM e) GROUP BY key")
+def store_recovered_state(spark, d):
+    """Two commits and a snapshot between them, reopened: what the log and the snapshot give together."""
+    import uuid
+
+    from .plans.sync import _shared
+    from .sources.store import Store
+
+    url = f"{_shared(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    e = entries(spark, d).withColumn("timestamp", F.col("arrival"))  # keeps the order of the log visible
+    with Store(spark, url, 1) as s:
+        s.append(e.filter("arrival < 500000"))
+        s.persist(*s.load())
+        s.append(e.filter("arrival >= 500000"))
+    found, _, _ = Store(spark, url, 1).load()
+    return found.select("key", F.coalesce(F.col("value").cast("string"), F.lit("-")).alias("value"), F.col("timestamp").alias("last"))
+
+
+@query("""SELECT coalesce(m.peer, a.peer) AS peer, coalesce(a.ack, 0)::bigint AS local_ack, coalesce(m.ack, 0)::bigint AS peer_ack
+  FROM (SELECT n AS peer, CASE n WHEN 2 THEN 3000 WHEN 3 THEN 1500 ELSE 0 END AS ack FROM (VALUES (1), (2), (3)) v(n)) m
+  FULL JOIN (SELECT node + 1 AS peer, max(seq) AS ack FROM e GROUP BY node) a ON m.peer = a.peer""")
+def legacy_peers(spark, d):
+    from .sources.store import legacy_peers as table
+
+    acks = entries(spark, d).groupBy((F.col("node") + 1).alias("origin")).agg(F.max("seq").alias("ack"))
+    return table(members.members(spark, 1, [2, 3]), acks, _peer_acks(spark), 1)
+
+
+@query("""SELECT '__file/' || coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'delete' ELSE 'put' END AS change
+  FROM (SELECT * FROM s WHERE node <> 1 AND value IS NOT NULL) a FULL JOIN (SELECT * FROM s WHERE node <> 2 AND value IS NOT NULL) b ON a.key = b.key
+  WHERE a.key IS NULL OR b.key IS NULL OR a.value <> b.value""")
+def directory_changes(spark, d):
+    from .sources.directories import changes
+
+    live = reads.live(state(spark, d)).select(F.col("key").alias("name"), F.col("value").alias("content"), "node")
+    return changes(live.filter("node <> 2").drop("node"), live.filter("node <> 1").drop("node")).select("key", "change")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
