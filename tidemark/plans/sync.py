@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.versions import ENTRY, FIELDS
 from ..operators import admission, delta, digest, merge
+from ..operators import members as membership
 from ..operators.merge import MergeOutcome
 
 
@@ -50,6 +51,10 @@ class IdentityError(RuntimeError):
     pass
 
 
+class LogError(RuntimeError):
+    """Operations that could not be logged; they did not happen."""
+
+
 class Replica:
     def __init__(self, spark, node: int, peers: list[int], config: Config | None = None, uuid: bytes | None = None, known: dict | None = None):
         self.spark, self.node, self.members = spark, node, list(dict.fromkeys([node, *peers]))
@@ -77,9 +82,15 @@ class Replica:
 
     def _set(self, state: DataFrame) -> None:
         """Pin a version: entries and acks of one message come from the same state."""
+        self.state = self._pin(state.select(*FIELDS))
+
+    def _pin(self, rows: DataFrame) -> DataFrame:
         if not self.spark.sparkContext.getCheckpointDir():
             self.spark.sparkContext.setCheckpointDir(_shared(self.spark))
-        self.state = state.select(*FIELDS).checkpoint()
+        return rows.checkpoint()
+
+    def _log(self, ops: DataFrame) -> None:
+        """Called before operations take effect; a durable replica keeps them here or raises LogError."""
 
     def digest(self) -> str:
         return digest.state_digest(self.state).first()["digest"]
@@ -90,6 +101,7 @@ class Replica:
         row = (key, None if value is None else bytearray(value), self.node, self.next_seq, now)
         self.next_seq += 1
         new = self.spark.createDataFrame([row], ENTRY)
+        self._log(new)  # if it fails, the seq is not used again
         self._set(self.state.filter(F.col("key") != key).unionByName(new))
         self.acks[self.node] = max(self.acks.get(self.node, 0), row[3])
         if len(self.queue) >= self.config.max_entries:
@@ -107,6 +119,53 @@ class Replica:
         self.put(key, None, now_ms)
         return old
 
+    def put_all(self, rows: DataFrame, now_ms: int | None = None) -> int:
+        """Local writes of many keys (each once; a null value deletes), numbered in key order and logged
+        together; how many. Where they overflow the push queue, the next round carries them."""
+        from ..sources.store import number
+
+        now = int(time.time() * 1000) if now_ms is None else now_ms
+        rows = self._pin(rows.select("key", F.col("value").cast("binary").alias("value"), F.col("key").alias("arrival")))
+        if not (n := rows.count()):
+            return 0
+        numbered = number(rows, self.next_seq)
+        new = self._pin(numbered.select("key", "value", F.lit(self.node).cast("long").alias("node"), F.col("wal_seq").alias("seq"), F.lit(now).cast("long").alias("timestamp")))
+        self.next_seq += n
+        self._log(new.withColumn("arrival", F.col("seq")))
+        self._set(self.state.join(new.select("key"), "key", "left_anti").unionByName(new))
+        self.acks[self.node] = max(self.acks.get(self.node, 0), self.next_seq - 1)
+        if len(self.queue) + n > self.config.max_entries:
+            self.queue.clear()
+        else:
+            self.queue += [r["key"] for r in new.select("key").collect()]
+        return n
+
+    # membership
+    def add_peer(self, peer: int) -> None:
+        if peer not in self.members:
+            self._log(self.spark.createDataFrame([("AddPeer", peer)], "op string, peer_id long"))
+            self.members.append(peer)
+
+    def remove_peer(self, peer: int) -> None:
+        """Its coverage goes too, so nobody waits for its reports any more. A node does not remove itself."""
+        if peer in self.members and peer != self.node:
+            self._log(self.spark.createDataFrame([("RemovePeer", peer)], "op string, peer_id long"))
+            self.members.remove(peer)
+            self.reset_peer_coverage(peer)
+            for known in (self.mismatches, self.failures, self.legacy):
+                known.pop(peer, None)
+            self.reset_next.discard(peer)
+
+    def collect_garbage(self) -> int:
+        """Drop tombstones that every peer has covered; how many."""
+        reports = self.spark.createDataFrame([(p, o, a) for p, acks in self.peer_acks.items() for o, a in acks.items()], "peer long, origin long, ack long")
+        peers = membership.peers_of(membership.members(self.spark, self.node, self.members), self.node)
+        gone = self._pin(membership.collectable(self.state, reports, peers).select("key"))
+        if n := gone.count():
+            self._log(gone.withColumn("op", F.lit("Clear")))
+            self._set(self.state.join(gone, "key", "left_anti"))
+        return n
+
     # coverage
     def adopt(self, acks: dict[int, int]) -> None:
         for n, a in acks.items():
@@ -126,8 +185,14 @@ class Replica:
         checked = admission.admit(self.state, rows, self.config.limits, now, self.config.policy)
         good = checked.filter("reason is null").select(*FIELDS, "arrival")
         rejected = checked.filter("reason is not null").count()
-        merged = merge.decided(self.state, good).count()
+        winners = merge.decided(self.state, good)
+        merged = winners.count()
         if merged:
+            try:
+                self._log(winners)  # one commit a batch
+            except LogError:  # nothing landed, and its acks must not be adopted
+                self.rejected += rejected
+                return MergeOutcome(0, rejected, False)
             self._set(merge.merge(self.state, good))
         self.merged += merged
         self.rejected += rejected

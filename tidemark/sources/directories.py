@@ -1,7 +1,7 @@
 """Directories as keyed state: listing, changes between listings, and writing a state to a directory.
 
 Only regular files directly in the directory count. Spark's file index leaves out names with a leading
-dot or underscore; those are read by the driver, up to a checked number of bytes."""
+dot or underscore and empty files; those are added by the driver, up to a checked number of bytes."""
 
 from __future__ import annotations
 
@@ -21,8 +21,8 @@ def read_directory(spark: SparkSession, url: str, most_hidden_bytes: int = 64 <<
     hidden = [(n, size) for n, size in found if n[0] in "._" and not n.endswith((".part", ".crc"))]
     if sum(size for _, size in hidden) > most_hidden_bytes:
         raise ValueError(f"hidden files of {url} have over {most_hidden_bytes} bytes")
-    rows = spark.createDataFrame([(n, bytearray(folder.read(n))) for n, _ in hidden], LISTING)
-    if len([n for n, _ in found if n[0] not in "._"]):
+    rows = spark.createDataFrame([(n, bytearray(folder.read(n))) for n, _ in hidden] + [(n, bytearray()) for n, size in found if not size and n[0] not in "._"], LISTING)
+    if any(size for n, size in found if n[0] not in "._"):
         name = F.regexp_extract("path", "([^/]*)$", 1)  # _metadata.file_name is escaped, path is not
         rows = rows.unionByName(spark.read.format("binaryFile").load(folder.url).select(name.alias("name"), "content"))
     return rows
@@ -45,6 +45,14 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select(F.concat(F.lit(PREFIX), "name").alias("key"), F.col("_a").alias("value"), change.alias("change")).filter("change IS NOT NULL")
 
 
+def news(state: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(key, value) of changes that the state does not have yet, so what a state wrote to the directory
+    does not come back as a change of its own."""
+    s = state.select("key", F.col("value").alias("_v"), F.lit(True).alias("_has"))
+    fresh = F.col("_has").isNull() | ~F.col("value").eqNullSafe(F.col("_v"))
+    return changes(before, after).join(s, "key", "left").filter(fresh).select("key", "value")
+
+
 def due_writes(state: DataFrame, listing: DataFrame) -> DataFrame:
     """(name, content, change) that makes a directory equal to the state's files: write where it differs or
     lacks, remove where the state has a tombstone. Files that the state never had stay."""

@@ -106,6 +106,7 @@ class Store:
         self.commits = self.rewritten = 0
         self.dirty = self.closed = self._snapshotting = False
         self._held: list[DataFrame] = []
+        self.acks: dict[int, int] = {}
         self._last_sync = time.monotonic()
         self._check("log-header.json", _HEADER, create=True)
         self.last = self._repair()
@@ -188,16 +189,20 @@ class Store:
         if self.closed:
             raise StoreError("the store is closed")
         self._held.append(as_ops(ops).filter(F.col("op").isin(DURABLE)))
-        self.dirty = True
         if self.window <= 0 or time.monotonic() - self._last_sync >= self.window:
-            self.sync()
+            try:
+                self.sync()
+            except Exception:
+                self._held.pop()  # refused; what was held before stays for the next try
+                raise
+        self.dirty = True
 
     def has_unsynced(self) -> bool:
         return bool(self._held)
 
     def sync(self) -> None:
-        """Commit what is held."""
-        held, self._held = self._held, []
+        """Commit what is held. If that fails, it stays held, and nothing of it is in the log."""
+        held = list(self._held)
         if not held:
             return
         arrivals = [h if "arrival" in h.columns else h.withColumn("arrival", F.monotonically_increasing_id()) for h in held]
@@ -206,9 +211,15 @@ class Store:
         n = rows.count()
         self._last_sync = time.monotonic()
         if n:
-            rows.withColumn("crc", row_crc()).select(*[c.split()[0] for c in LOG.split(", ")]).write.parquet(self.folder.at(f"log/{self.last + 1:020d}"))
+            name = f"log/{self.last + 1:020d}"
+            try:
+                rows.withColumn("crc", row_crc()).select(*[c.split()[0] for c in LOG.split(", ")]).write.parquet(self.folder.at(name))
+            except Exception:
+                self.folder.delete(name)
+                raise
             self.last += n
             self.commits += 1
+        del self._held[: len(held)]
 
     def sync_if_due(self) -> bool:
         """Commit if something is held and the window since the last commit is over. Idle: no commit."""
@@ -243,7 +254,7 @@ class Store:
         except ValueError:
             return False
 
-    def persist(self, state: DataFrame, members: list[int] | None = None, next_seq: int = 1, force: bool = False) -> int | None:
+    def persist(self, state: DataFrame, members: list[int] | None = None, next_seq: int = 1, force: bool = False, acks: dict[int, int] | None = None) -> int | None:
         """A new generation, unless nothing was appended since the last (force: in any case). Then the log
         keeps only what the generation before it lacks. If the write fails, the log stays as it was."""
         if self._snapshotting:
@@ -260,7 +271,7 @@ class Store:
             name = f"snapshot-{generation:012d}"
             state.select(*FIELDS).withColumn("value", F.col("value").cast("binary")).write.parquet(self.folder.at(name))
             rows = self._snapshot(name).count()
-            manifest = _MANIFEST | {"node": self.node, "generation": generation, "rows": rows, "wal_last": covered, "members": members or [self.node], "next_seq": next_seq}
+            manifest = _MANIFEST | {"node": self.node, "generation": generation, "rows": rows, "wal_last": covered, "members": members or [self.node], "next_seq": next_seq, "acks": acks or {}}
             self.folder.write(f"generation-{generation:012d}.json", json.dumps(manifest).encode())
             self.dirty = bool(self._held)
             for m in old[1:]:
@@ -281,10 +292,11 @@ class Store:
     def _snapshot(self, name: str) -> DataFrame:
         return self.spark.read.schema(ENTRY).parquet(self.folder.at(name))
 
-    def load(self) -> tuple[DataFrame, list[int], int]:
+    def load(self, peers: list[int] | None = None) -> tuple[DataFrame, list[int], int]:
         """(state, members, next_seq): the newest generation that is whole, else the one before, else
-        nothing; then the log behind it."""
-        base, members, floor, low = self.spark.createDataFrame([], ENTRY), [self.node], 1, 0
+        nothing; then the log behind it. peers: members where there is no generation. Sets acks: the
+        coverage that the generation kept, without peers that were removed since."""
+        base, members, floor, low, acks = self.spark.createDataFrame([], ENTRY), list(dict.fromkeys([self.node, *(peers or [])])), 1, 0, {}
         for m in self._manifests():
             name = f"snapshot-{m['generation']:012d}"
             try:
@@ -295,9 +307,11 @@ class Store:
                 if not any(s in str(e) for s in ("parquet", "Parquet", "FAILED_READ_FILE", "PATH_NOT_FOUND")):
                     raise
                 continue
-            base, members, floor, low = found, m["members"], m["next_seq"], m["wal_last"]
+            base, members, floor, low, acks = found, m["members"], m["next_seq"], m["wal_last"], {int(k): v for k, v in m.get("acks", {}).items()}
             break
         ops = self.log().filter(F.col("wal_seq") > low)
+        gone = {r["peer_id"] for r in ops.filter("op = 'RemovePeer'").select("peer_id").distinct().collect()}  # a row a node at most
+        self.acks = {n: a for n, a in acks.items() if n not in gone}
         own = base.filter(F.col("node") == self.node).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
         return merge.replay(base, ops), replay_members(members, ops), replay_next_seq(ops, self.node, max(floor, own + 1)).first()["next_seq"]
 
