@@ -64,6 +64,22 @@ def test_tokens_equal_the_library():
             assert ids[at[r - i] : at[r - i + 1]].tolist() == coder.tokenizer.encode(texts[r], add_special_tokens=False).ids
 
 
+def test_added_tokens_equal_a_fresh_library():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(packing.VOCABULARY)
+    end = "<|endoftext|>"
+    assert fresh.encode(f"x {end} y", add_special_tokens=False).ids == [87, 220, 50256, 331]
+    rng = random.Random(6)
+    parts = ["a", "don", "'t", "é", ".", "<", "|>", " ", "  ", "\n", "\u3000", "中", "7", end, end, "<|endo", "ftext|>"]
+    texts = [f"x {end} y", end, end * 3, "<|endo", "ftext|>", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000))]
+    coder = Encoder(packing.VOCABULARY, kept=300)
+    for i, j, data, offs in blocks(pa.array(texts), 2000):
+        ids, at = coder.encode(data, offs)
+        for r in range(i, j):
+            assert ids[at[r - i] : at[r - i + 1]].tolist() == fresh.encode(texts[r], add_special_tokens=False).ids
+
+
 def test_near_duplicates(docs, rows, empty):
     sets = {i: shingles(t).keys() for i, t in rows}
     group = {i: i for i in sets}

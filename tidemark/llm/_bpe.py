@@ -2,8 +2,9 @@
 
 A byte-level BPE never merges over the borders that its pre-tokenizer sets, and those of the GPT-2
 pattern lie at least at each word with the one space before it. So a text is cut there, each
-different piece is encoded once by the library, and ids are laid end to end in numpy. Texts with
-white space outside ASCII are encoded whole."""
+different piece is encoded once by the library, and ids are laid end to end in numpy. The library
+takes added tokens (such as <|endoftext|>) out of a text first and encodes what lies between them by
+itself, so they are pieces of their own. Texts with white space outside ASCII are encoded whole."""
 
 from __future__ import annotations
 
@@ -75,8 +76,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.kept = self.tokenizer.model, kept
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added):
+            raise ValueError("an added token that is not matched byte for byte")
+        longest = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         self._forget()
 
     @classmethod
@@ -92,17 +97,26 @@ class Encoder:
 
     def _encode(self, raw: bytes) -> list[int]:
         s = raw.decode("utf-8", "replace")
-        if _STEM.fullmatch(s):  # one pre-token
+        if _STEM.fullmatch(s) and not (self.added and self.added.search(raw)):  # one pre-token
             return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(_ALPHABET))]
         return self.tokenizer.encode(s, add_special_tokens=False).ids
 
-    @staticmethod
-    def pieces(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    def _added(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
+        """Where added tokens lie, from the left of each text; none crosses a text's end."""
+        raw = data.tobytes()
+        if not self.added or not self.added.search(raw):
+            return []
+        return [m.span() for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True) for m in self.added.finditer(raw, i, j)]
+
+    def pieces(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Where the pieces of texts laid end to end begin; they cover all bytes."""
         n = len(data)
         kind = _CLASS[data]
         edge = np.zeros(n + 1, bool)
         edge[offs] = True
+        added = self._added(data, offs)
+        for i, j in added:
+            edge[i] = edge[j] = True
         cut = edge[:n].copy()
         # a word's letters and marks other than an apostrophe never share a pre-token
         pair = kind[:-1] * np.uint8(8) + kind[1:]
@@ -122,6 +136,8 @@ class Encoder:
         cut[runs] = True
         cut[inner - 1] = True
         cut[inner[data[inner - 1] != 32]] = True
+        for i, j in added:
+            cut[i + 1 : j] = False
         if odd := [m.start() for m in _ODD.finditer(data.tobytes())]:
             for k in np.unique(np.searchsorted(offs, odd, "right") - 1):
                 cut[offs[k] + 1 : offs[k + 1]] = False
