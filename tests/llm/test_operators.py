@@ -206,6 +206,21 @@ def test_repetition(docs, rows, empty):
     assert quality.repetition(empty).count() == 0
 
 
+def test_only_the_suffix_array_rejects(spark):
+    plain = " ".join(f"a{k}" for k in range(300))
+    texts = [
+        plain,
+        " ".join(f"b{k} " * 7 for k in range(12)),  # all in short runs: no window of eight words repeats
+        plain + " again" * 51,  # a run of 50 repeated words that overlaps itself, 51 of 351 words
+        plain + " again" * 71,  # the same of 70, 71 of 371 words
+        " ".join(f"c{k}" for k in range(5)) + " " + plain + " " + " ".join(f"c{k}" for k in range(5)),
+    ]
+    got = {r["doc_id"]: r for r in quality.repetition(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [got[i]["kept"] for i in range(5)] == [True, False, True, False, True]
+    assert [got[i]["longest_repeat"] for i in range(5)] == [0, 0, 50, 70, 0] and got[0].asDict().keys() == {"doc_id", *quality.SCHEMA.names, "base_failed", "kept"}
+
+
 def brute_spans(texts, least):
     seen = set()
     for raw in texts:

@@ -4,7 +4,11 @@ Suffixes are sorted by prefix doubling (only groups that are still tied are sort
 text's number as the first sort key, so a block of many texts is one array and no match crosses
 texts. Common prefixes of neighbours follow from the kept ranks. The largest common-prefix interval
 that holds a suffix has its larger neighbouring value; the union of those spans is the union of all
-maximal repeated substrings."""
+maximal repeated substrings.
+
+The base rule counts words in repeated windows of eight words, which is the same union from eight
+words on. So the verdict of the suffix array takes in shorter repeats as well, and the share of the
+text that its longest repeat has: words said over and over in short runs, and a run that overlaps itself."""
 
 from __future__ import annotations
 
@@ -19,6 +23,8 @@ from ._text import Rolling, Sequence, batch, blocks, mix, words
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 SCHEMA = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("covered_words", pa.int64()), ("longest_repeat", pa.int64())])
+#: What only the verdict needs.
+_VERDICT = pa.schema([("_covered", pa.int64()), ("_longest", pa.int64())])
 
 
 def longest_repeats(symbols: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,13 +89,13 @@ def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(total[bounds])
 
 
-def measure(data: np.ndarray, offs: np.ndarray, least: int) -> list[np.ndarray]:
-    """The columns of SCHEMA for texts laid end to end."""
+def measure(data: np.ndarray, offs: np.ndarray, least: int, short: int) -> list[np.ndarray]:
+    """The columns of SCHEMA for texts laid end to end, then the last two again for repeats of `short` words or more."""
     texts = len(offs) - 1
     s, e, first = words(data, offs)
     n_words = np.diff(first)
     if not len(data):
-        return [np.zeros(texts, np.int64)] * 7
+        return [np.zeros(texts, np.int64)] * 9
     chars = np.append(0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int64))
     word_chars = _per_text(chars[e] - chars[s], first)
     symbols = _per_text(_SYMBOLS[data], offs)
@@ -118,28 +124,34 @@ def measure(data: np.ndarray, offs: np.ndarray, least: int) -> list[np.ndarray]:
     _, back, count = np.unique(window, return_inverse=True, return_counts=True)
     twice = at[count[back] > 1] if len(at) else at
     repeat_words = _per_text(covered(twice, np.full(len(twice), 8), n), first)
-    found, length = longest_repeats(h, first, least)
-    in_repeats = _per_text(covered(found, length, n), first)
-    longest = np.zeros(texts, np.int64)
-    np.maximum.at(longest, text[found], length)
-    return [n_words, word_chars, symbols, dup_lines, repeat_words, in_repeats, longest]
+    found, length = longest_repeats(h, first, min(short, least))
+    out = [n_words, word_chars, symbols, dup_lines, repeat_words]
+    for k in (least, short):
+        at, size = found[length >= k], length[length >= k]
+        longest = np.zeros(texts, np.int64)
+        np.maximum.at(longest, text[at], size)
+        out += [_per_text(covered(at, size, n), first), longest]
+    return out
 
 
-def repetition(docs: DataFrame, least: int = 8, most_covered: float = 0.3, most_longest: int = 100) -> DataFrame:
+def repetition(docs: DataFrame, least: int = 8, most_covered: float = 0.3, most_longest: int = 100, short: int = 5, most_share: float = 0.15) -> DataFrame:
     """doc_id, the counts of SCHEMA, base_failed, kept.
 
-    kept is false if base_failed, if repeated substrings of `least` words or more cover more than
-    most_covered of the words, or if the longest has more than most_longest words. A null or empty
-    text has zero words and fails the base. Rows stay one to one; other columns are left out."""
+    kept is false if base_failed, if repeated substrings of `short` words or more cover more than
+    most_covered of the words, or if the longest of them has more than most_longest words or more
+    than most_share of the text's words (said twice, it would make up most_covered). covered_words
+    and longest_repeat tell of substrings of `least` words or more. A null or empty text has zero
+    words and fails the base. Rows stay one to one; other columns are left out."""
+    fields = [*SCHEMA, *_VERDICT]
 
     def run(b):
         for i, j, data, offs in blocks(b.column(1)):
-            yield batch(pa.schema([("doc_id", pa.int64()), *SCHEMA]), b.column(0).slice(i, j - i), *measure(data, offs, least))
+            yield batch(pa.schema([("doc_id", pa.int64()), *fields]), b.column(0).slice(i, j - i), *measure(data, offs, least, short))
 
-    out = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, " + ", ".join(f"{f.name} long" for f in SCHEMA))
+    out = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, " + ", ".join(f"{f.name} long" for f in fields))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    worse = (F.col("covered_words") > most_covered * F.col("n_words")) | (F.col("longest_repeat") > most_longest)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~worse)
+    worse = (F.col("_covered") > most_covered * F.col("n_words")) | (F.col("_longest") > most_longest) | (F.col("_longest") > most_share * F.col("n_words"))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~worse).drop(*_VERDICT.names)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
