@@ -289,6 +289,36 @@ def test_main_text(spark):
     assert html_extract.extract(df.filter("false")).count() == 0
 
 
+def test_main_text_nested_and_mixed_layouts(spark):
+    para = "<p>" + "body text of the article " * 20 + "</p>"
+    text = ("body text of the article " * 20).strip()
+    nested = f"<article><h1>T</h1><p>lead</p><div class=wrap><div class=content>{para}</div></div></article>"
+    sections = f"<article><p>lead</p><section class=a>{para}</section><section class=b>{para}</section></article>"
+    whole = f"T\nlead\n{text}"
+    cases = {  # host and body -> text
+        1: ("nested", PAGE % nested, whole),
+        2: ("linked", PAGE % nested.replace("T</h1>", "<a href='/'>T</a></h1>"), whole),
+        3: ("sections", PAGE % sections, f"lead\n{text}\n{text}"),
+        4: ("bare", PAGE % f"<h1>T</h1><p>lead</p><div class=content>{para}</div>", whole),
+        5: ("articles", PAGE % f"<article class=a>{para}</article><article class=b>{para}</article>", f"{text}\n{text}"),
+        6: ("beside", PAGE % f"{nested}<div class=legal>All rights</div>", whole),
+        7: ("fragment", f"<h1>T</h1><p>lead</p><div class=content>{para}</div>", whole),
+        # three pages of one layout, and others of their host with something at that path
+        11: ("mixed", PAGE % f"<div class=post>{para}</div>", text),
+        12: ("mixed", PAGE % f"<div class=post>{para}</div>", text),
+        13: ("mixed", PAGE % f"<div class=post>{para}</div>", text),
+        14: ("mixed", PAGE % f"<div class=post><p>note</p></div><main><p>lead</p><div class=text>{para}</div></main>", f"lead\n{text}"),
+        15: ("mixed", PAGE % f"<div class=post>{para}</div><div class=more>{para}</div>", f"{text}\n{text}"),
+        21: ("leads", PAGE % f"<article><div class=content>{para}</div></article>", text),
+        22: ("leads", PAGE % f"<article><div class=content>{para}</div></article>", text),
+        23: ("leads", PAGE % nested.replace("<div class=wrap>", "").replace("</div></div>", "</div>"), whole),
+    }
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", html) for i, (host, html, _) in cases.items()], "page_id long, url string, html string")
+    for most in (100, 0):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(df, most_broadcast=most).collect()}
+        assert got == {i: want for i, (_, _, want) in cases.items()}
+
+
 def test_archives(spark):
     big = "".join(random.Random(1).choices("abc é\r\n", k=50_000))
     rows = [(3, "u\r\nx", big), (1, "u", "same"), (2, None, "same"), (5, "u", None), (4, "u", ""), (None, "u", "same"), (None, "u", "alone")]

@@ -1,9 +1,11 @@
 """Main text of web pages by consensus paths of their hosts.
 
 Each page's containers are scored by the text that their blocks hold; a container's path is its tags
-and classes from the body down, with numbers taken out. Pages vote for their best path, hosts count
-the votes in Spark, and each page is read again at its host's winning path (at its own best one,
-where it has no such container)."""
+and classes from the body down, with numbers taken out. From its best container a page climbs to the
+smallest one that holds all text of the article or main element around it; without such an element,
+or if that holds too little of the page, all text of the page that is not skipped. Pages vote for the
+path they come to, hosts count the votes in Spark, and each page is read again at its host's winning
+path, after the same climb inside its article (at its own one, where the host's holds too little)."""
 
 from __future__ import annotations
 
@@ -23,6 +25,7 @@ RAW = frozenset("script style noscript template title textarea iframe svg math".
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption address center details summary fieldset hgroup".split()) | SKIPPED
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption summary address".split())
+FRAMES = frozenset("article main".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 UNWANTED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|nav\w*|menu|breadcrumbs?|header|masthead|footer|notices?|cookies?|consent|popup|modal|newsletter|subscri\w*|share|social|related|recommend\w*|comments?|respond|replies|disqus|widget|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
@@ -117,9 +120,11 @@ def text_blocks(page: str):
     yield from flush()
 
 
-def paths(page: str) -> tuple[dict[str, float], list[tuple[str, str]]]:
-    """(score of each container path, blocks as (path, text))."""
+def paths(page: str) -> tuple[dict[str, float], dict[str, float], list[tuple[str, str]]]:
+    """(score of each container path, text below each path, blocks as (path, text)). The empty path is
+    the page. Text in links counts against both, but a page's h1 may be a link."""
     scores: dict[str, float] = {}
+    below: dict[str, float] = {"": 0.0}
     blocks = []
     for names, tag, text, linked in text_blocks(page):
         path = ">".join(names)
@@ -134,15 +139,57 @@ def paths(page: str) -> tuple[dict[str, float], list[tuple[str, str]]]:
             key = ">".join(container)
             scores[key] = scores.get(key, 0.0) + share * value
             container = container[:-1]
-    return scores, blocks
+        value = float(len(text)) if tag == "h1" else value
+        while path:
+            below[path] = below.get(path, 0.0) + value
+            path = path.rpartition(">")[0]
+        below[""] += value
+    return scores, below, blocks
 
 
 def best_path(scores: dict[str, float]) -> str:
     return min(scores, key=lambda p: (-scores[p], len(p), p)) if scores else ""
 
 
+def frame(path: str) -> str:
+    """The outermost article or main element of a path; the empty path where there is none."""
+    names = path.split(">")
+    return next((">".join(names[: k + 1]) for k, n in enumerate(names) if n.split(".")[0] in FRAMES), "")
+
+
+def root(path: str) -> str:
+    """The html or body element that a path begins at; the empty path for part of a page."""
+    first = path.split(">")[0]
+    return first if first.split(".")[0] in ("html", "body") else ""
+
+
+def climb(path: str, top: str, below: dict[str, float]) -> str:
+    """The smallest container from path up to top that holds all text of top."""
+    while path != top and below.get(path, 0.0) < below.get(top, 0.0):
+        path = path.rpartition(">")[0]
+    return path
+
+
+def main_path(scores: dict[str, float], below: dict[str, float], nearly: float = 0.9) -> str:
+    """Where a page's main text is by the page alone. An article or main element ends the climb if it
+    holds `nearly` all of the page's text."""
+    path = best_path(scores)
+    top = root(path)
+    path = climb(path, frame(path) or top, below)
+    return path if below[path] >= nearly * below[top] else climb(path, top, below)
+
+
+def page_path(scores: dict[str, float], below: dict[str, float], path: str | None, least: float = 0.8) -> str:
+    """Where a page is read: from its host's path up, if that holds `least` of what its own path does."""
+    own = main_path(scores, below)
+    if not path or path not in below:
+        return own
+    path = climb(path, frame(path) or path, below)
+    return path if below[path] >= least * below[own] else own
+
+
 def read_at(blocks: list[tuple[str, str]], path: str) -> list[str]:
-    return [t for p, t in blocks if p == path or p.startswith(path + ">")]
+    return [t for p, t in blocks if not path or p == path or p.startswith(path + ">")]
 
 
 def extract(pages: DataFrame, salts: int = 16, most_broadcast: int = 100_000) -> DataFrame:
@@ -155,7 +202,7 @@ def extract(pages: DataFrame, salts: int = 16, most_broadcast: int = 100_000) ->
     base = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("_host"))
 
     def vote(b):
-        out = [best_path(paths(h or "")[0]) for h in b.column(1).to_pylist()]
+        out = [main_path(*paths(h or "")[:2]) for h in b.column(1).to_pylist()]
         yield batch(pa.schema([("_host", pa.string()), ("_path", pa.string())]), b.column(0), out)
 
     votes = map_arrow(base.select("_host", "html"), vote, "_host string, _path string")
@@ -173,9 +220,8 @@ def extract(pages: DataFrame, salts: int = 16, most_broadcast: int = 100_000) ->
     def read(b):
         texts = []
         for page, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            scores, blocks = paths(page or "")
-            found = read_at(blocks, path) if path else []
-            texts.append("\n".join(found or read_at(blocks, best_path(scores))))
+            scores, below, blocks = paths(page or "")
+            texts.append("\n".join(read_at(blocks, page_path(scores, below, path))))
         yield batch(schema, b.column(0), b.column(1), texts, [len(t) for t in texts])
 
     return map_arrow(joined.select("page_id", "url", "html", "_path"), read, "page_id long, url string, text string, n_chars long")
