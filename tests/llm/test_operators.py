@@ -390,3 +390,20 @@ def test_pipeline_stages(spark, tmp_path, rows):
     left = {r["doc_id"] for r in got}
     near = {r["doc_id"] for r in near_dedup.near_duplicates(spark.read.parquet(f"{tmp_path}/documents.parquet")).filter("kept").collect()}
     assert left <= near and 4 not in left and len(left) >= len(near) - 3
+
+
+def test_pipeline_decides_on_rows_with_null_and_repeated_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    a, b, c, leak = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (None, a), (None, b), (None, b + " tail"), (7, c), (7, leak), (None, "x " + leak), (3, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r[0] is None, r[0], r[1] or "")
+    near = sorted(map(tuple, pipeline.drop_near_duplicates(spark, docs, "").collect()), key=key)
+    assert [r for r in near if r[1] in (a, c, leak)] == sorted([(1, a), (7, c), (7, leak)], key=key)
+    assert sum((r[1] or "").startswith(b) for r in near) == 1 and not any(leak in (r[1] or "") for r in near if r[0] is None)
+    assert (3, None) in near and (None, "") in near and len(near) == 6
+    spark.createDataFrame([(None, leak), (4, prose(rng, 60)), (None, prose(rng, 60))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(r for r in rows if leak not in (r[1] or ""))
+    assert {r["item_id"] for r in decontam.contaminated(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()} == {None}

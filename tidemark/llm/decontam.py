@@ -49,9 +49,9 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
 class Items:
     """Items by size, with their shingles and a multi-index over the bytes of their fingerprints."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for item_id, text in sorted(rows):
+    def __init__(self, rows: list[tuple[int | None, str]]):
+        by_size: dict[int, list[tuple[int | None, np.ndarray]]] = {}
+        for item_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
             data = LOWER[np.frombuffer(text.encode(), np.uint8)]
             s, e, _ = words(data, np.array([0, len(data)]))
             if n := len(s):
@@ -123,7 +123,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75
     ones). Documents that leak nothing have no row. Null and empty texts and items match nothing; null
     ids are kept as null; of repeated item ids every text counts. block_bytes: most bytes of items that
     one pass sends to the tasks; a larger benchmark takes several passes."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").filter(F.col("item_id").isNotNull() & (F.length("text") > 0))
+    items = benchmark.select(F.col("item_id").cast("long"), "text").filter(F.length("text") > 0)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes, out = max(1, -(-size // block_bytes)), None
     docs = docs.select(F.col("doc_id").cast("long"), "text")
