@@ -361,6 +361,15 @@ def test_toxicity_learns_held_out_words(spark):
     assert toxicity.train([], np.zeros(0)).texts(np.zeros(0, np.uint8), np.array([0, 0]))[0] < 0.7
 
 
+def test_toxicity_windows_hold_every_run_of_half_a_window():
+    for n in (1, 31, 32, 33, 48, 49, 200):
+        text, start, end = toxicity.windows(np.array([0, n, n + 70]))
+        for at, size in ((0, n), (n, 70)):
+            own = (start >= at) & (end <= at + size)
+            for k in range(max(1, size - 16 + 1)):
+                assert ((start[own] <= at + k) & (end[own] >= at + min(k + 16, size))).any()
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     w = toxicity.Words(np.frombuffer(b"a b c d e f g h", np.uint8), np.array([0, 15]))
