@@ -100,6 +100,11 @@ def test_near_duplicates_null_id_is_kept(spark):
     assert len(got) == 3 and all(r["kept"] for r in got)
 
 
+def test_near_duplicates_refuse_what_they_would_lose(docs):
+    with pytest.raises(ValueError, match="60"):
+        near_dedup.near_duplicates(docs, percent=60)
+
+
 def test_radius_is_guaranteed():
     rng = np.random.default_rng(2)
     for _ in range(200):

@@ -27,6 +27,8 @@ from ._text import LOWER, Rolling, Sequence, batch, blocks, mix, whole_runs, wor
 CHUNKS, SYMBOLS, SHINGLE = 12, 4, 5
 SIZE = CHUNKS * SYMBOLS
 RADIUS = 2 * CHUNKS - 1
+#: RADIUS and the size filter of _close are made for this similarity.
+LEAST_PERCENT = 75
 _A = (mix(np.arange(1, SIZE + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)[:, None]
 _B = mix(np.arange(101, SIZE + 101, dtype=np.uint64)).astype(np.uint32)[:, None]
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
@@ -231,7 +233,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 1024) -> Da
     doc_id is linked with nothing, has no component, and is kept. Repeated rows of one doc_id are one
     document as far as their texts agree; where they differ, each text links under that id.
 
+    percent: 75 at least; signatures and the size filter are made for that, and lower ones would lose pairs.
     block: most members of one key that a task compares at once; larger keys go by pairs of blocks."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent is {percent}; pairs below {LEAST_PERCENT} percent are not all found")
     sk = stage(sketch(docs), "sketch")
     reps = sk.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = stage(reps, "reps")
