@@ -87,6 +87,12 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return s, np.flatnonzero(end) + 1, np.searchsorted(s, offs)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Different values in order, by sorting (a hash table is slower here)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... for lengths[0] entries, then the next."""
     total = int(lengths.sum())

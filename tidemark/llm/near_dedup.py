@@ -8,9 +8,12 @@ with probability 0.25, and more than 23 of 48 do with probability below 2e-4 (fe
 
 Documents with equal sets stand behind one representative. Under a key, pairs within RADIUS are
 looked for in blocks of bounded size, and members with a partner fetch their whole sets; there the
-exact test is made and only a spanning star of each linked group leaves the task. So what is
-shuffled grows with the members, not with the pairs; no partner is dropped. What is joined here has no
-size bound, so nothing is broadcast, at any size."""
+exact test is made and only a spanning star of each linked group leaves the task. A key of many
+blocks is settled in two rounds: in the first, some members (pivots) visit all blocks, so that copies
+of one text hang together whatever their block; in the second, only members outside the key's
+largest component meet the other blocks, and only pairs of different components are tested. So what is
+shuffled grows with the members, not with the pairs, unless most members of a hot key are linked with
+nothing; no partner is dropped. What is joined here has no size bound, so nothing is broadcast, at any size."""
 
 from __future__ import annotations
 
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import components, map_arrow, release, stage
-from ._text import LOWER, Rolling, Sequence, batch, blocks, mix, whole_runs, words
+from ._text import LOWER, Rolling, Sequence, batch, blocks, distinct, mix, whole_runs, words
 
 CHUNKS, SYMBOLS, SHINGLE = 12, 4, 5
 SIZE = CHUNKS * SYMBOLS
@@ -48,7 +51,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray):
     full = seq.runs(np.arange(max(0, n - SHINGLE + 1)), SHINGLE)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= SHINGLE:
-            yield np.unique(full[a : b - SHINGLE + 1])
+            yield distinct(full[a : b - SHINGLE + 1])
         else:
             yield seq.runs(np.array([a]), b - a) if b > a else np.zeros(0, np.uint64)
 
@@ -132,16 +135,34 @@ def _pairs(at: np.ndarray):
                     yield s + a[up], s + b[up]
 
 
-def _find_members(batches):
+def _crossings(at: np.ndarray, visits: np.ndarray):
+    """Pairs of a resident and a visitor (last in a run), in bounded pieces."""
+    for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        m = s + int(np.searchsorted(visits[s:e], 1))
+        for r in range(s, m, 256):
+            a, b = np.meshgrid(np.arange(r, min(m, r + 256)), np.arange(m, e), indexing="ij")
+            yield a.ravel(), b.ravel()
+
+
+def _find_members(across: bool):
+    """Of sorted rows (key, bi, bj, code, rep, comp, visits, n, sig), those with a partner under their key and
+    block. across: partners are of the other kind (visits) and of another component."""
     schema = pa.schema([("key", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("rep", pa.int64())])
-    for b, at in whole_runs(batches, 3):
-        code, rep, n = (np.asarray(b.column(k)) for k in (3, 4, 5))
-        sig, hit = _signatures(b.column(6)), np.zeros(b.num_rows, bool)
-        for i, j in _pairs(at):
-            ok = _close(sig, n, code, i, j)
-            hit[i[ok]] = hit[j[ok]] = True
-        if hit.any():
-            yield batch(schema, *(np.asarray(b.column(k))[hit] for k in range(3)), rep[hit])
+
+    def run(batches):
+        for b, at in whole_runs(batches, 3):
+            code, rep, comp, visits, n = (np.asarray(b.column(k)) for k in range(3, 8))
+            sig, hit = _signatures(b.column(8)), np.zeros(b.num_rows, bool)
+            for i, j in _crossings(at, visits) if across else _pairs(at):
+                if across:
+                    other = comp[i] != comp[j]
+                    i, j = i[other], j[other]
+                ok = _close(sig, n, code, i, j)
+                hit[i[ok]] = hit[j[ok]] = True
+            if hit.any():
+                yield batch(schema, *(np.asarray(b.column(k))[hit] for k in range(3)), rep[hit])
+
+    return run
 
 
 def link_matrix(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -226,15 +247,65 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "rep long, set binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 1024) -> DataFrame:
+def _linked(rows: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, across: bool) -> DataFrame:
+    """Links (a, b), a spanning star of each group, among rows (key, bi, bj, code, rep, comp, visits) that share
+    key and blocks."""
+    full = rows.join(reps.select("rep", "n", "sig").hint("merge"), "rep").select("key", "bi", "bj", "code", "rep", "comp", "visits", "n", "sig")
+    full = full.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "visits")
+    members = stage(full.mapInArrow(_find_members(across), "key long, bi int, bj int, rep long"), "members")
+    sets = whole_sets(docs, members.select("rep").distinct())
+    fetched = members.join(sets.hint("merge"), "rep").select("key", "bi", "bj", "rep", "set").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
+    out = stage(fetched.mapInArrow(_confirm(percent), "a long, b long"), "edges")
+    release(members)
+    return out
+
+
+def _visitors(busy: DataFrame, pivots: int) -> DataFrame:
+    """Of each busy key `pivots` members or fewer, in all its blocks but their own."""
+    some = busy.groupBy("key", "nb").agg(F.first("code").alias("code"), F.array_distinct(F.array(*[F.min_by("rep", F.xxhash64("rep", F.lit(j))) for j in range(pivots)])).alias("reps"))
+    out = some.select("key", "nb", "code", F.explode("reps").alias("rep")).withColumn("b", _block_of("rep", "key", "nb"))
+    return out.select("key", "b", "code", "rep", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bi")).filter("bi <> b")
+
+
+def _block_of(rep: str, key: str, many: str):
+    return F.pmod(F.xxhash64(rep, key), F.col(many)).cast("int")
+
+
+def _strays(busy: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """Rows for the second round: what is outside its key's largest component, in blocks of its own, against
+    all blocks of the key."""
+    placed = busy.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    top = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), (F.sum("c") - F.max("c")).alias("others")).filter("others > 0")
+    placed = placed.join(top.hint("merge"), "key").withColumn("ns", F.ceil(F.col("others") / block).cast("int"))
+    of_stray = F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("bj")
+    stay = placed.select("key", F.col("b").alias("bi"), of_stray, "code", "rep", "comp", F.lit(0).alias("visits"))
+    go = placed.filter("comp <> top").withColumn("bj", F.pmod(F.xxhash64("rep"), F.col("ns")).cast("int"))
+    go = go.select("key", "b", "bj", "code", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bi")).filter("bi <> b")
+    return stay.unionByName(go.drop("b").withColumn("visits", F.lit(1)))
+
+
+def _same_id(sk: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the representatives of different texts under one doc_id; None where there are none."""
+    known = sk.filter("n > 0 and doc_id is not null")
+    several = known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("doc_id")
+    if several.isEmpty():
+        return None
+    theirs = known.join(several, "doc_id").join(reps.select("digest", "rep"), "digest").select("doc_id", "rep")
+    low = theirs.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return theirs.join(low, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 512, pivots: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a row of docs (doc_id, text; other columns are left
     out). Documents are linked where 100 * common >= percent * union of their shingle sets; documents
     without words are linked with nothing. component_id is the smallest doc_id that links reach. A null
     doc_id is linked with nothing, has no component, and is kept. Repeated rows of one doc_id are one
-    document as far as their texts agree; where they differ, each text links under that id.
+    document that has all their texts: a link of any of them is its link.
 
     percent: 75 at least; signatures and the size filter are made for that, and lower ones would lose pairs.
-    block: most members of one key that a task compares at once; larger keys go by pairs of blocks."""
+    block: about how many members of one key a task compares at once. pivots: members of a larger key that
+    are compared with all its blocks in the first round."""
     if percent < LEAST_PERCENT:
         raise ValueError(f"percent is {percent}; pairs below {LEAST_PERCENT} percent are not all found")
     sk = stage(sketch(docs), "sketch")
@@ -242,22 +313,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 1024) -> Da
     reps = stage(reps, "reps")
     all_keys = keys(reps)
     shared = all_keys.groupBy("key").count().filter("count > 1")
-    met = all_keys.join(shared.hint("merge"), "key")
-    many = F.ceil(F.col("count") / block).cast("int")
-    met = met.withColumn("_nb", many).withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_nb")).cast("int"))
-    met = met.withColumn("_o", F.explode(F.when(F.col("_nb") > 1, F.sequence(F.lit(0), F.col("_nb") - 1)).otherwise(F.array("_b"))))
-    met = met.select("key", F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"), "code", "rep")
-    rows = met.join(reps.select("rep", "n", "sig").hint("merge"), "rep").select("key", "bi", "bj", "code", "rep", "n", "sig")
-    rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    members = stage(rows.mapInArrow(_find_members, "key long, bi int, bj int, rep long"), "members")
-    sets = whole_sets(docs, members.select("rep").distinct())
-    full = members.join(sets.hint("merge"), "rep").select("key", "bi", "bj", "rep", "set").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
-    edges = full.mapInArrow(_confirm(percent), "a long, b long")
+    met = all_keys.join(shared.hint("merge"), "key").withColumn("nb", F.ceil(F.col("count") / block).cast("int"))
+    met = stage(met.select("key", "code", "rep", "nb", _block_of("rep", "key", "nb").alias("b")), "met")
+    busy = met.filter("nb > 1")
+    first = met.select("key", F.col("b").alias("bi"), "code", "rep")
+    if hot := not busy.isEmpty():
+        first = first.unionByName(_visitors(busy, pivots).select("key", "bi", "code", "rep"))
+    first = first.select("key", "bi", F.lit(0).alias("bj"), "code", "rep", F.lit(0).cast("long").alias("comp"), F.lit(0).alias("visits"))
+    edges = _linked(first, reps, docs, percent, False)
+    if (ids := _same_id(sk, reps)) is not None:
+        edges = edges.unionByName(ids)
     found = stage(components(edges), "components")
+    if hot:
+        more = _linked(_strays(busy, found, block), reps, docs, percent, True)
+        found = stage(components(edges.unionByName(more)), "components")
     placed = sk.join(reps.select("digest", "rep"), "digest", "left").join(found, F.col("rep") == found["node"], "left")
     component = F.coalesce("component", "rep", "doc_id")
     out = placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    release(members)
+    release(met)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
