@@ -2,7 +2,7 @@
 
 Documents in ascending doc_id order are encoded, an end id is put after each, and runs of documents
 become shards. In a shard the most frequent pairs of neighbouring symbols are replaced by new
-symbols (nonterminals), again and again, until no pair is frequent. Pairs never cross a document's
+symbols (nonterminals), again and again, until no pair occurs LEAST_PAIRS times. Pairs never cross a document's
 end, so each document begins at a symbol of its own. A shard stores its rules, the expansion length
 of every rule, and for each document its first symbol and its first id, so any span of ids of any
 document is decoded from the symbols that cover it alone.
@@ -27,6 +27,8 @@ from ._bpe import Encoder, with_end
 from ._io import stage
 from ._text import batch, blocks, ranges
 
+#: A pair is frequent if it occurs so often: a rule takes 12 bytes, and each use of it saves 2 or 4.
+LEAST_PAIRS = 8
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIII")  # magic, first nonterminal, documents, rules, symbols, bytes a symbol
@@ -34,41 +36,95 @@ _FILES = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.i
 _DOCS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def repair(symbols: np.ndarray, firsts: np.ndarray, base: int, least: int = 16, most: int = 4096, rounds: int = 24, gain: float = 0.01):
-    """(symbols, firsts, rules): frequent pairs replaced by nonterminals base, base+1, ...
-
-    A round takes the `most` most frequent pairs that occur `least` times or more; of overlapping
-    occurrences, every second one from the left of the run is replaced. It ends when a round would
-    save less than `gain` of the symbols. firsts: where documents begin, and the end."""
-    s, firsts, rules = symbols.astype(np.uint32), firsts.astype(np.int64), []
-    for _ in range(rounds):
-        if len(s) < 2 * least:
-            break
-        key = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
-        key[firsts[1:-1][firsts[1:-1] > 0] - 1] = np.uint64(0xFFFFFFFFFFFFFFFF)  # over a document's end
-        ordered = np.sort(key)
-        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        count = np.diff(np.append(edge, len(ordered)))
-        pair = ordered[edge]
-        often = np.flatnonzero((count >= least) & (pair != np.uint64(0xFFFFFFFFFFFFFFFF)))
-        if len(often) > most:
-            often = often[np.argpartition(-count[often], most)[:most]]
-        if count[often].sum() < gain * len(s):
-            break
-        chosen = np.sort(pair[often])
-        at = np.searchsorted(chosen, key)
-        at[at == len(chosen)] = 0
-        hits = np.flatnonzero(chosen[at] == key)
-        fresh = np.append(True, np.diff(hits) != 1)
+def _merged(*runs: np.ndarray) -> np.ndarray:
+    """Different values of ascending runs, in order."""
+    x = np.sort(np.concatenate(runs), kind="stable")
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+class Pairs:
+    """A sequence in place, with links over what was taken out, and its frequent pairs of neighbours.
+
+    All occurrences of a pair come up in one round, that in which the younger of its symbols is made, and
+    then only get fewer. So a pair that is too rare then never needs another look, and a round costs no
+    more than the places that it changes."""
+
+    def __init__(self, symbols: np.ndarray, firsts: np.ndarray, least: int):
+        n = len(symbols)
+        self.s, self.least = symbols.astype(np.uint32), least
+        self.next, self.prev = np.arange(1, n + 1), np.arange(-1, n - 1)
+        self.last, self.out = np.zeros(n, bool), np.zeros(n, bool)  # last of its document; taken out
+        self.last[firsts[1:][firsts[1:] > firsts[:-1]] - 1] = True
+        self.of = np.full(n, -1, np.int32)  # number of the pair that begins here
+        self.places, self.used = np.empty(3 * n, np.int32), 0  # of each pair; a replacement adds two at most
+        self.begin, self.size, self.count = (np.zeros(0, np.int64) for _ in range(3))
+        self._add(np.arange(n))
+
+    def _add(self, at: np.ndarray) -> None:
+        """Number the frequent ones among the pairs that begin at these places."""
+        at = at[~self.last[at]]
+        key = self.s[at].astype(np.uint64) << np.uint64(32) | self.s[self.next[at]]
+        if len(at) > 1 << 12:  # most are rare: sort only those that share a bucket with enough others
+            bits = max(12, min(22, len(at).bit_length()))
+            bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+            often = np.bincount(bucket, minlength=1 << bits)[bucket] >= self.least
+            at, key = at[often], key[often]
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(edge, len(key)))
+        edge, size = edge[size >= self.least], size[size >= self.least]
+        at = at[ranges(edge, size)]
+        self.of[at] = np.repeat(np.arange(len(self.size), len(self.size) + len(size)), size)
+        self.places[self.used : self.used + len(at)] = at
+        self.begin = np.append(self.begin, self.used + np.cumsum(size) - size)
+        self.size, self.count = np.append(self.size, size), np.append(self.count, size)
+        self.used += len(at)
+
+    def replace(self, symbol: int) -> np.ndarray:
+        """One round: the pairs with more than half the count of the top one become symbol, symbol + 1, ...
+        Where occurrences overlap, every second one from the left of the run is replaced. The pairs, as
+        (n, 2); none where no pair is frequent any more."""
+        top = int(self.count.max(initial=0))
+        if top < self.least:
+            return np.zeros((0, 2), np.uint32)
+        chosen = np.flatnonzero(self.count >= max(self.least, top // 2 + 1))
+        hits, own = self.places[ranges(self.begin[chosen], self.size[chosen])].astype(np.int64), np.repeat(chosen, self.size[chosen])
+        still = self.of[hits] == own
+        hits = np.sort(hits[still])
+        fresh = np.append(True, self.next[hits[:-1]] != hits[1:])
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(hits)), 0))
         hits = hits[(np.arange(len(hits)) - run) % 2 == 0]
-        s[hits] = base + len(rules) + at[hits]
-        keep = np.ones(len(s), bool)
-        keep[hits + 1] = False
-        firsts = firsts - np.searchsorted(hits + 1, firsts)
-        s = s[keep]
-        rules += list(zip((chosen >> np.uint64(32)).tolist(), (chosen & np.uint64(0xFFFFFFFF)).tolist(), strict=True))
-    return s, firsts, np.array(rules, np.uint32).reshape(-1, 2)
+        second = self.next[hits]
+        which, first, number = np.unique(self.of[hits], return_index=True, return_inverse=True)
+        rules = np.stack([self.s[hits[first]], self.s[second[first]]], axis=1)
+        changed = _merged(hits, second, self.prev[hits[hits > 0]])
+        changed = changed[self.of[changed] >= 0]
+        self.count -= np.bincount(self.of[changed], minlength=len(self.count))
+        self.of[changed] = -1
+        self.s[hits] = symbol + number
+        self.out[second] = True
+        self.last[hits] = self.last[second]
+        after = self.next[second]
+        self.next[hits] = after
+        inside = after < len(self.s)
+        self.prev[after[inside]] = hits[inside]
+        before = self.prev[hits]
+        self._add(_merged(hits, before[before >= 0]))
+        return rules
+
+
+def repair(symbols: np.ndarray, firsts: np.ndarray, base: int, least: int = LEAST_PAIRS):
+    """(symbols, firsts, rules): pairs replaced by nonterminals base, base+1, ..., the most frequent ones
+    first, until no pair of neighbours occurs `least` times. firsts: where documents begin, and the end."""
+    firsts = firsts.astype(np.int64)
+    pairs, rules = Pairs(symbols, firsts, least), [np.zeros((0, 2), np.uint32)]
+    made = 0
+    while len(found := pairs.replace(base + made)):
+        rules.append(found)
+        made += len(found)
+    gone = np.append(0, np.cumsum(pairs.out))
+    return pairs.s[~pairs.out], firsts - gone[firsts], np.concatenate(rules).astype(np.uint32)
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
