@@ -31,9 +31,11 @@ SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 UNWANTED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|nav\w*|menu|breadcrumbs?|header|masthead|footer|notices?|cookies?|consent|popup|modal|newsletter|subscri\w*|share|social|related|recommend\w*|comments?|respond|replies|disqus|widget|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"?|'[^']*'?)*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_GAPS = re.compile(r"[ \t\n\r\f\v]+")
+#: Quotes hold a value only right after an equals sign, and only if they are closed; elsewhere they are
+#: characters like others, so a stray one swallows nothing.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_GAPS = re.compile(r"\s+")
 
 
 def host_of(column):
@@ -51,7 +53,7 @@ def text_blocks(page: str):
 
     def flush():
         nonlocal linked, in_link
-        text = _GAPS.sub(" ", entities.unescape("".join(held)).replace("\xa0", " ")).strip() if held else ""
+        text = _GAPS.sub(" ", entities.unescape("".join(held))).strip() if held else ""
         held.clear()
         n, linked, in_link = linked, 0, 0
         if text:
@@ -106,9 +108,11 @@ def text_blocks(page: str):
                     break
         name, out = tag, tag in SKIPPED
         if m[3]:
-            found = {k.lower(): a or b or c or "" for k, a, b, c in _NAMED.findall(m[3])}
+            found: dict[str, str] = {}
+            for k, x, y, z in _ATTRIBUTE.findall(m[3]):
+                found.setdefault(k.lower(), x or y or z)  # of a repeated attribute the first counts
             if classes := re.sub(r"\d+", "", found.get("class", "")).split():
-                name += "." + ".".join(sorted(classes)[:4])
+                name += "." + ".".join(sorted(set(classes)))
             out = out or tag not in ("html", "body", "article", "main") and bool(UNWANTED.search(found.get("class", "")) or UNWANTED.search(found.get("id", "")))
             out = out or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         if tag in RAW:  # its content is no markup
@@ -179,13 +183,15 @@ def main_path(scores: dict[str, float], below: dict[str, float], nearly: float =
     return path if below[path] >= nearly * below[top] else climb(path, top, below)
 
 
-def page_path(scores: dict[str, float], below: dict[str, float], path: str | None, least: float = 0.8) -> str:
-    """Where a page is read: from its host's path up, if that holds `least` of what its own path does."""
+def page_path(scores: dict[str, float], below: dict[str, float], path: str | None, least: float = 0.5) -> str:
+    """Where a page is read: from its host's path up, if that holds more than `least` of what its own path
+    does. So what stands beside the host's path on this page alone goes, and a page of another layout,
+    where the host's path has the smaller part, is read by itself."""
     own = main_path(scores, below)
     if not path or path not in below:
         return own
     path = climb(path, frame(path) or path, below)
-    return path if below[path] >= least * below[own] else own
+    return path if below[path] > least * below[own] else own
 
 
 def read_at(blocks: list[tuple[str, str]], path: str) -> list[str]:
