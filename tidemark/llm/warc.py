@@ -72,41 +72,63 @@ def payload_of(block: bytes) -> tuple[bytes, bytes]:
     return head, dechunked(body) if re.search(rb"(?im)^transfer-encoding:\s*chunked", head) else body
 
 
-def _write(part: int, n: int, page_id, url, payload: bytes, first, kind: str, segment: int, chunk: int):
-    """(record, continuation records) of one page."""
-    name = f"urn:page:{'none' if page_id is None else page_id}#{part}.{n}"
-    common = [("WARC-Date", EPOCH), ("WARC-Target-URI", re.sub(r"[\s\x00-\x1f]+", " ", url or "").strip()), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
+def _id(page_id, payload_digest: str, more: str = "") -> str:
+    """Record id of a page's response: it follows from page and payload, so that a revisit can name it."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{payload_digest}{more}>"
+
+
+def _write(more: str, page_id, url, payload: bytes, first, kind: str, segment: int, chunk: int):
+    """(record, continuation records) of one page. more: what tells its record from others of the same page."""
+    said = digest(payload)
+    name = _id(page_id, said, f"#revisit{more}" if kind == "revisit" else more)
+    common = [("WARC-Date", EPOCH), ("WARC-Target-URI", re.sub(r"[\s\x00-\x1f]+", " ", url or "").strip()), ("WARC-Payload-Digest", f"sha1:{said}")]
     if kind == "revisit":
-        head = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{name}>"), ("WARC-Refers-To", f"<urn:page:{first}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        head = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), ("WARC-Refers-To", _id(first, said)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
         return record([*head, *common], b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload)), []
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk)
-    head = [("WARC-Type", "response"), ("WARC-Record-ID", f"<{name}>")]
+    head = [("WARC-Type", "response"), ("WARC-Record-ID", name)]
     if len(block) <= segment:
         return record([*head, *common], block), []
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
-    more = []
+    rest = []
     for k, x in enumerate(parts[1:], 2):
-        own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{name}.{k}>"), ("WARC-Date", EPOCH), ("WARC-Segment-Origin-ID", f"<{name}>"), ("WARC-Segment-Number", str(k))]
-        more.append(record([*own, ("WARC-Segment-Total-Length", str(len(block)))] if k == len(parts) else own, x))
-    return record([*head, *common, ("WARC-Segment-Number", "1")], parts[0]), more
+        own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}.{k}>"), ("WARC-Date", EPOCH), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(k))]
+        rest.append(record([*own, ("WARC-Segment-Total-Length", str(len(block)))] if k == len(parts) else own, x))
+    return record([*head, *common, ("WARC-Segment-Number", "1")], parts[0]), rest
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """rows (page_id, url, payload, sha) with `nth`: 0, but where a page_id has the same payload more than
+    once, numbers of their own for all but the first."""
+    if rows.groupBy("page_id", "sha").count().filter("count > 1").isEmpty():
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    low = rows.groupBy("page_id", "sha").agg(F.min("row").alias("low"), F.count("*").alias("n")).filter("n > 1")
+    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s"))
+    out = rows.join(low.select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "low"), same, "left")
+    return out.select("page_id", "url", "payload", "sha", F.when(F.col("row") > F.col("low"), F.col("row") + 1).otherwise(0).alias("nth"))
 
 
 def write_archives(pages: DataFrame, least: int = 0, segment: int = 1 << 14, chunk: int = 1 << 12, size: int = 1 << 22) -> DataFrame:
-    """The written table of archives (archive binary). pages needs page_id, url and html.
+    """The written table of archives (archive binary). pages needs page_id, url and html; other columns
+    are left out.
 
     Of pages with equal payloads of at least `least` bytes, the smallest page_id is a response and
     the others revisit it; repeated rows of that page_id are responses too. A null html is empty; a
     null page_id is no page to refer to, so such pages revisit only pages that have one. Records of
-    over `segment` bytes are cut, and what continues them goes to other archives."""
-    keyed = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("_payload"))
-    keyed = keyed.withColumn("_sha", F.sha1("_payload"))
-    twice = keyed.filter(F.octet_length("_payload") >= least).groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1 and _first is not null").drop("_n")
-    marked = keyed.join(twice, "_sha", "left").select("page_id", "url", "_payload", "_first")
+    over `segment` bytes are cut, and what continues them goes to other archives.
+
+    Payloads never travel by their digest: which pages are revisits is worked out on ids and digests
+    alone, and what is joined to the payloads has a key of page and digest, which is not hot."""
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    rows = _told_apart(rows.withColumn("sha", F.unhex(F.sha1("payload"))))
+    small = rows.filter(F.octet_length("payload") >= least).select("page_id", "sha")
+    first = small.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
+    marks = small.distinct().join(first, "sha").filter("page_id is null or page_id <> first")
+    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s"))
+    marked = rows.join(marks.select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "first"), same, "left").select("page_id", "url", "payload", "first", "nth")
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part, n = TaskContext.get().partitionId(), 0
         open_: dict[bool, list[bytes]] = {False: [], True: []}
         held = {False: 0, True: 0}
         schema = pa.schema([("archive", pa.binary())])
@@ -122,25 +144,28 @@ def write_archives(pages: DataFrame, least: int = 0, segment: int = 1 << 14, chu
             return out
 
         for b in batches:
-            for page_id, url, payload, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-                kind = "response" if first is None or first == page_id else "revisit"
-                main, more = _write(part, n, page_id, url, payload.as_py(), first, kind, segment, chunk)
-                n += 1
+            for page_id, url, payload, first, nth in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                kind = "response" if first is None else "revisit"
+                main, rest = _write(f"#{nth}" if nth else "", page_id, url, payload.as_py(), first, kind, segment, chunk)
                 yield from put(False, main)
-                for x in more:
+                for x in rest:
                     yield from put(True, x)
         yield from (close(k) for k in (False, True) if open_[k])
 
     return stage(marked.mapInArrow(run, "archive binary"), "warc")
 
 
+def _page(record_id: str) -> int | None:
+    found = record_id.strip("<>").removeprefix("urn:page:").split(":")[0]
+    return None if found == "none" else int(found)
+
+
 def _row(headers: dict, block: bytes) -> tuple:
     kind = headers["warc-type"]
-    page = lambda x: None if x.startswith("none") else int(x)
-    origin = (headers.get("warc-segment-origin-id") or headers["warc-record-id"]).strip("<>")
-    page_id = page(origin.removeprefix("urn:page:").split("#")[0])
+    origin = headers.get("warc-segment-origin-id") or headers["warc-record-id"]
+    page_id = _page(origin)
     if kind == "revisit":
-        return page_id, int(re.search(rb"(?im)^content-length:\s*(\d+)", block)[1]), headers["warc-payload-digest"].removeprefix("sha1:"), kind, int(headers["warc-refers-to"].strip("<>").removeprefix("urn:page:")), None, None, None, None
+        return page_id, int(re.search(rb"(?im)^content-length:\s*(\d+)", block)[1]), headers["warc-payload-digest"].removeprefix("sha1:"), kind, _page(headers["warc-refers-to"]), None, None, None, None
     number = headers.get("warc-segment-number")
     said = headers.get("warc-payload-digest", "").removeprefix("sha1:")
     if number is None:
