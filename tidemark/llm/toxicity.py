@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -239,31 +240,41 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 800, clean_rows: int = 1600) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 800, clean_rows: int = 1600, sample_bytes: int = 1 << 26) -> Network:
     """A network from a bounded sample of labelled rows outside the held-out third: at most toxic_rows
-    and clean_rows texts, those with the smallest hash of their doc_id. Null labels, ids and texts are
-    left out; of repeated ids one counts."""
-    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).dropna().dropDuplicates(["doc_id"]).filter(~held_out(F.col("doc_id")))
-    few = [marked.filter(F.col("_toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, toxic_rows), (0, clean_rows))]
-    rows = few[0].unionByName(few[1]).join(docs.select("doc_id", "text").dropna(), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
+    and clean_rows whole texts, those with the smallest hash of their doc_id, and of each class only as
+    many of them, in that order, as have sample_bytes together (the first one in any case).
+
+    Null labels, ids and texts are left out. A doc_id that is labelled more than once is toxic if any label
+    says so; of its texts, where they differ, the one that sorts first counts. So the sample does not depend
+    on the order of rows. No rows, or rows of one class, give a network whose every score is the same."""
+    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).dropna().groupBy("doc_id").agg(F.max("_toxic").alias("_toxic")).filter(~held_out(F.col("doc_id")))
+    texts = docs.select("doc_id", "text").dropna()
+    few = []
+    for y, n in ((1, toxic_rows), (0, clean_rows)):
+        order = W.orderBy(F.xxhash64("doc_id"), "doc_id")  # over at most n rows
+        own = marked.filter(F.col("_toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).join(texts, "doc_id").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text"))
+        sized = own.withColumn("_sum", F.sum(F.octet_length("text").cast("long")).over(order)).withColumn("_nth", F.row_number().over(order))
+        few.append(sized.filter((F.col("_sum") <= sample_bytes) | (F.col("_nth") == 1)).select("doc_id", "_toxic", "text"))
+    rows = sorted(few[0].unionByName(few[1]).collect(), key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], np.array([r["_toxic"] for r in rows], np.float32))
 
 
 def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold), from whole texts. Null and empty
-    texts get the lowest score; columns by these names are replaced, all others and all rows stay."""
+    texts get the lowest score; columns by these names are replaced, all others, whatever their names, and
+    all rows stay."""
     docs = docs.drop("score", "predicted")
-    at = docs.columns.index("text")
+    rows = docs.select(F.struct("*").alias("row"), "text")  # one column, so no name can clash
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            out = np.concatenate([net.texts(data, offs) for _, _, data, offs in blocks(b.column(at))])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), pa.array((out >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+            out = np.concatenate([net.texts(data, offs) for _, _, data, offs in blocks(b.column(1))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), pa.array((out >= threshold).astype(np.int32))], names=["row", "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])).select("row.*", "score", "predicted")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
