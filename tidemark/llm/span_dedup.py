@@ -6,6 +6,9 @@ bytes that an anchor's windows cover) with the same anchor need comparing. Conte
 that are equal as a whole are settled by their smallest position, by aggregation, and only one of
 each goes on; so a text copied a million times is compared once.
 
+Where very many contexts share an anchor, their windows are told apart by longer anchors (see
+repeated_spans), so no comparison grows with the corpus.
+
 Comparing. Many contexts are laid end to end in one array. Its suffixes are sorted to the depth that
 matters, and from the transform intervals of strings of length 0, 1, 2, ... are extended backwards by
 one byte, breadth first: a right border that is reached for the first time at length l has a common
@@ -28,19 +31,20 @@ from ._io import map_arrow, stage
 from ._text import Rolling, batch, blocks, mix, ranges, whole_runs
 
 LEAST, GRAM = 100, 24
-_ANCHORS = pa.schema([("hash", pa.int64()), ("ctx", pa.int64()), ("o", pa.int64()), ("at", pa.int64())])
+_ANCHORS = pa.schema([("hash", pa.int64()), ("ctx", pa.int64()), ("o", pa.int64()), ("at", pa.int64()), ("settled", pa.bool_())])
+ANCHORS = "hash long, ctx long, o long, at long, settled boolean"
 _SPANS = pa.schema([("o", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, least: int):
+def anchors(data: np.ndarray, offs: np.ndarray, least: int, gram: int = GRAM):
     """(text, where the anchor's windows begin in it, bytes that they cover, anchor's hash, hash of those bytes)."""
-    n, reach = len(data), least - GRAM + 1
+    n, reach = len(data), least - gram + 1
     none = np.zeros(0, np.int64)
     if n < least:
         return none, none, none, none, none
     rolling = Rolling(data)
-    p = np.arange(n - GRAM + 1)
-    h = rolling.spans(p, p + GRAM)
+    p = np.arange(n - gram + 1)
+    h = rolling.spans(p, p + gram)
     low = (h & np.uint64(0xFFFFFFFF00000000)) | p.astype(np.uint64)
     width, best = 1, low
     while width * 2 <= reach:
@@ -155,59 +159,51 @@ def repeats(contexts: list[np.ndarray], doc: np.ndarray, start: np.ndarray, leas
     return np.stack([doc[w], start[w] + on - begin[w], start[w] + off - begin[w]])
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with _o: a number of its own for each row, in the order of doc_id. Where ids are unique and
-    never null, that is doc_id itself; else rows are numbered by doc_id (null last) and a hash of the text."""
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
-        return docs.withColumn("_o", F.col("doc_id").cast("long"))
-    keyed = docs.withColumn("_null", F.col("doc_id").isNull()).withColumn("_t", F.xxhash64("text"))
-    ranged = keyed.repartitionByRange("_null", "doc_id", "_t").sortWithinPartitions("_null", "doc_id", "_t")
-    return stage(ranged.drop("_null", "_t").withColumn("_o", F.monotonically_increasing_id()), "numbered")
+def numbered(docs: DataFrame) -> DataFrame:
+    """(o, text, row): a number of its own for each row, in the order of doc_id; its text (null: empty); and
+    all columns of docs as one struct, so that no name can clash. Where ids are unique and never null, the
+    number is doc_id itself; else rows are numbered by doc_id (null last) and a hash of the text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("o"), F.coalesce("text", F.lit("")).alias("text"), F.struct("*").alias("row"))
+    if rows.groupBy("o").count().filter("count > 1 or o is null").isEmpty():
+        return rows
+    order = [F.col("o").isNull(), F.col("o"), F.xxhash64("text")]
+    return stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("o", F.monotonically_increasing_id()), "numbered")
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = 20_000, load: int = 1 << 21) -> DataFrame:
-    """(o, s, e): bytes s to e-1 of row _o are covered by strings of `least` bytes that start earlier too.
-    Spans may overlap. hot: contexts of one anchor beyond which its windows are settled one by one, by
-    aggregation on their hashes, instead of by one task. load: bytes that a task compares at once."""
-    unit = 1 << least.bit_length()
-    docs = docs.select(F.col("_o").alias("o"), "text")
+def _anchor_rows(least: int, gram: int, unit: int, find):
+    """A map over batches to ANCHORS. find(batch) gives (o, place, bytes, hash, ctx) arrays. Of equal contexts
+    in a batch only the first goes on: the others start later, so they are settled, and travel under
+    keys of their own. So a hot context is one row a batch."""
+
+    def run(b):
+        for o, start, size, h, ctx in find(b):
+            at = start * unit + size - least
+            order = np.lexsort((at, o, ctx, h))
+            o, at, h, ctx = o[order], at[order], h[order], ctx[order]
+            again = np.append(False, (h[1:] == h[:-1]) & (ctx[1:] == ctx[:-1])) if len(h) else np.zeros(0, bool)
+            own = mix((o ^ at << 20).view(np.uint64)).view(np.int64)
+            yield batch(_ANCHORS, np.where(again, own, h), ctx, o, at, again)
+
+    return run
 
-    def find(b):
-        for i, j, data, offs in blocks(b.column(1)):
-            text, start, size, h, ctx = anchors(data, offs, least)
-            yield batch(_ANCHORS, h, ctx, b.column(0).take(pa.array(i + text)), start * unit + size - least)
 
-    every = map_arrow(docs, find, "hash long, ctx long, o long, at long")
-    met = every.withColumn("_n", F.count("*").over(W.partitionBy("hash"))).filter("_n > 1").drop("_n")
+def _settle(every: DataFrame, least: int, unit: int):
+    """(spans of contexts that are equal to an earlier one, the first of each of the others that share their
+    anchor: hash, ctx, o, at)."""
+    met = every.withColumn("n", F.count("*").over(W.partitionBy("hash"))).filter("n > 1 or settled").drop("n")
     met = stage(met, "anchors")
-    first = met.groupBy("hash", "ctx").agg(F.min(F.struct("o", "at")).alias("f"))
+    first = met.filter("not settled").groupBy("hash", "ctx").agg(F.min(F.struct("o", "at")).alias("f"))
     first = stage(first.select("hash", "ctx", F.col("f.o").alias("o"), F.col("f.at").alias("at")), "contexts")
-    start = F.shiftright("at", least.bit_length())
+    start = F.shiftright("at", unit.bit_length() - 1)
     end = start + F.col("at") % unit + least
-    # equal contexts: all but the first go as a whole
-    copies = met.join(first.select("hash", "ctx", F.col("o").alias("_o"), F.col("at").alias("_at")), ["hash", "ctx"]).filter("o <> _o or at <> _at")
-    copies = copies.select("o", start.alias("s"), end.alias("e"))
-    # different contexts of one anchor
-    several = first.groupBy("hash").agg(F.count("*").alias("d")).filter("d > 1")
-    asked = first.join(several, "hash").select("o", F.struct("hash", start.alias("s"), end.alias("e"), (F.col("d") > hot).alias("hot")).alias("x"))
-    asked = asked.groupBy("o").agg(F.collect_list("x").alias("x"))  # at most one a GRAM bytes or so of a text
-    fetched = docs.join(asked, "o")
-    schema = pa.schema([("hash", pa.int64()), ("o", pa.int64()), ("s", pa.int64()), ("context", pa.binary()), ("hot", pa.bool_())])
+    earlier = first.select("hash", "ctx", F.col("o").alias("o1"), F.col("at").alias("at1"))
+    copies = met.filter("not settled").join(earlier, ["hash", "ctx"]).filter("o <> o1 or at <> at1")
+    copies = copies.select("o", "at").unionByName(met.filter("settled").select("o", "at"))
+    return copies.select("o", start.alias("s"), end.alias("e")), first.select("hash", "o", start.alias("s"), end.alias("e"))
 
-    def cut(b):
-        for k, (o, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
-            raw, rows = text.as_py().encode(), b.column(2)[k].as_py()
-            out = [(x["hash"], o, x["s"], raw[x["s"] : x["e"]], False) for x in rows if not x["hot"]]
-            if wide := [x for x in rows if x["hot"]]:
-                rolling = Rolling(np.frombuffer(raw, np.uint8))
-                at = np.unique(np.concatenate([np.arange(x["s"], x["e"] - least + 1) for x in wide]))
-                h = rolling.spans(at, at + least).view(np.int64)
-                out += [(int(a), o, int(p), b"", True) for a, p in zip(h, at, strict=True)]
-            yield batch(schema, *zip(*out, strict=True))
-
-    got = stage(map_arrow(fetched, cut, "hash long, o long, s long, context binary, hot boolean"), "bytes")
-    ranked = got.filter("not hot").select("hash", "o", "s", "context").repartition("hash").sortWithinPartitions("hash")
+
+def _compare(rows: DataFrame, least: int, load: int) -> DataFrame:
+    """Spans among rows (hash, o, s, context) of one hash each that start earlier in another of them."""
 
     def compare(batches):
         for b, at in whole_runs(batches, 1):
@@ -215,34 +211,82 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = 20_000, load:
             i = 0
             while i < len(at) - 1:  # runs of about `load` bytes together
                 j = max(i + 1, int(np.searchsorted(size[at], size[at[i]] + load, "right")) - 1)
-                rows = b.slice(at[i], at[j] - at[i])
-                found = repeats([np.frombuffer(c.as_buffer(), np.uint8) for c in rows.column(3)], np.asarray(rows.column(1)), np.asarray(rows.column(2)), least)
+                part = b.slice(at[i], at[j] - at[i])
+                found = repeats([np.frombuffer(c.as_buffer(), np.uint8) for c in part.column(3)], np.asarray(part.column(1)), np.asarray(part.column(2)), least)
                 if found.shape[1]:
                     yield batch(_SPANS, *found)
                 i = j
 
-    differing = ranked.mapInArrow(compare, "o long, s long, e long")
-    wide = got.filter("hot").select("hash", "o", "s")
-    low = wide.groupBy("hash").agg(F.min(F.struct("o", "s")).alias("f"))
-    singles = wide.join(low, "hash").filter("o <> f.o or s <> f.s").select("o", "s", (F.col("s") + least).alias("e"))
-    return copies.unionByName(differing).unionByName(singles)
+    return rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(compare, "o long, s long, e long")
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST, most: int = 1 << 14, load: int = 1 << 21) -> DataFrame:
+    """(o, s, e): bytes s to e-1 of text o are covered by strings of `least` bytes that start earlier too.
+    docs: (o, text). Spans may overlap.
+
+    most: different contexts that one comparison takes. An anchor that more of them share is split by
+    anchors of longer grams (twice the length, three times, ... up to `least` bytes), which equal windows
+    share as well; a gram of `least` bytes is a whole window, whose contexts are all equal, so nothing is
+    left to compare. load: bytes that a task compares at once."""
+    unit = 1 << least.bit_length()
+    docs = docs.select("o", "text")
+
+    def of_texts(b):
+        for i, _, data, offs in blocks(b.column(1)):
+            text, start, size, h, ctx = anchors(data, offs, least)
+            yield np.asarray(b.column(0))[i + text], start, size, h, ctx
+
+    every = map_arrow(docs, _anchor_rows(least, GRAM, unit, of_texts), ANCHORS)
+    out, gram = None, GRAM
+    while True:
+        spans, first = _settle(every, least, unit)
+        out = spans if out is None else out.unionByName(spans)
+        several = first.groupBy("hash").agg(F.count("*").alias("d")).filter("d > 1")
+        asked = first.join(several, "hash").select("o", F.struct("hash", "s", "e", (F.col("d") > most).alias("hot")).alias("x"))
+        asked = asked.groupBy("o").agg(F.collect_list("x").alias("x"))  # at most one for each place of a window
+        got = stage(map_arrow(docs.join(asked, "o"), _cut, "hash long, o long, s long, context binary, hot boolean"), "bytes")
+        out = out.unionByName(_compare(got.filter("not hot").select("hash", "o", "s", "context"), least, load))
+        hot = got.filter("hot").select("o", "s", "context")
+        if gram >= least or hot.isEmpty():
+            return out
+        gram = min(least, gram + GRAM)
+        every = map_arrow(hot, _anchor_rows(least, gram, unit, _of_contexts(least, gram)), ANCHORS)
+
+
+_CONTEXT = pa.schema([("hash", pa.int64()), ("o", pa.int64()), ("s", pa.int64()), ("context", pa.binary()), ("hot", pa.bool_())])
+
+
+def _cut(b):
+    for k, (o, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+        raw, rows = text.as_py().encode(), b.column(2)[k].as_py()
+        yield batch(_CONTEXT, *zip(*((x["hash"], o, x["s"], raw[x["s"] : x["e"]], x["hot"]) for x in rows), strict=True))
+
+
+def _of_contexts(least: int, gram: int):
+    def find(b):
+        c = b.column(2).cast(pa.large_binary())
+        offs = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+        data = np.frombuffer(c.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+        which, start, size, h, ctx = anchors(data, offs - offs[0], least, gram)
+        yield np.asarray(b.column(0))[which], np.asarray(b.column(1))[which] + start, size, h, ctx
+
+    return find
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, hot: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, **options) -> DataFrame:
     """docs with text cut (characters that a cut broke are dropped from it), and n_bytes, n_removed, n_spans
     and kept_sha256 (of the remaining bytes). One row a row; a null text is empty. Rows with equal doc_id
     count as documents in the order of a hash of their text; a null doc_id comes last. Columns of docs by
-    the new names are replaced, all others stay."""
+    the new names are replaced, all others stay, whatever their names. options: see repeated_spans."""
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    docs = _numbered(docs.drop(*made))
-    spans = repeated_spans(docs, least, hot).groupBy("o").agg(F.collect_list(F.struct("s", "e")).alias("_x"))
-    joined = docs.join(spans, F.col("_o") == F.col("o"), "left").drop("_o", "o")
-    names = joined.columns[:-1]
-    at = names.index("text")
+    docs = docs.drop(*made)
+    rows = numbered(docs)
+    spans = repeated_spans(rows, least, **options).groupBy("o").agg(F.collect_list(F.struct("s", "e")).alias("x"))
+    joined = rows.join(spans, "o", "left").select("row", "text", "x")
 
     def cut(b):
         out = []
-        for text, x in zip(b.column(at), b.column(len(names)), strict=True):
+        for text, x in zip(b.column(1), b.column(2), strict=True):
             raw = text.as_py().encode()
             n, runs = len(raw), 0
             if x.is_valid:
@@ -255,12 +299,13 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, hot: int = 20_000) -> Da
                 raw = b"".join([*parts, raw[begin:]])
             out.append((raw.decode("utf-8", "ignore"), n, n - len(raw), runs, hashlib.sha256(raw).hexdigest()))
         text, *rest = zip(*out, strict=True)
-        columns = [*b.columns[:at], pa.array(text, pa.string()), *b.columns[at + 1 : len(names)], *(pa.array(r, pa.int64()) for r in rest[:3]), pa.array(rest[3], pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, names=[*names, *made])
+        columns = [b.column(0), pa.array(text, pa.string()), *(pa.array(r, pa.int64()) for r in rest[:3]), pa.array(rest[3], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "text", *made])
 
-    fields = [f for f in joined.schema.fields if f.name != "_x"]
-    more = [T.StructField(n, T.LongType()) for n in made[:3]] + [T.StructField(made[3], T.StringType())]
-    return map_arrow(joined, cut, T.StructType([*fields, *more]))
+    more = [T.StructField("text", T.StringType()), *(T.StructField(n, T.LongType()) for n in made[:3]), T.StructField(made[3], T.StringType())]
+    out = map_arrow(joined, cut, T.StructType([joined.schema["row"], *more]))
+    kept = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return out.select(*kept, *made)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
