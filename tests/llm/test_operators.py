@@ -88,8 +88,8 @@ def test_near_duplicates(docs, rows, empty):
             for j in sets:
                 if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                     group[i] = group[j] = min(group[i], group[j])
-    for block in (1024, 2):
-        got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs, block=block).collect()}
+    for block, pivots in ((512, 16), (2, 1)):
+        got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs, block=block, pivots=pivots).collect()}
         assert {i: r["component_id"] for i, r in got.items()} == group
         assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (group[i] == i) for i, r in got.items())
     assert near_dedup.near_duplicates(empty).count() == 0
@@ -238,9 +238,9 @@ def brute_spans(texts, least):
         yield cover
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_span_removal(docs, rows, empty, hot):
-    got = {r["doc_id"]: r for r in span_dedup.remove_repeats(docs, hot=hot).collect()}
+@pytest.mark.parametrize("most", [1 << 14, 1])
+def test_span_removal(docs, rows, empty, most):
+    got = {r["doc_id"]: r for r in span_dedup.remove_repeats(docs, most=most).collect()}
     raws = [(t or "").encode() for _, t in rows]
     for (i, _), raw, cover in zip(rows, raws, brute_spans(raws, 100), strict=True):
         kept = np.frombuffer(raw, np.uint8)[~cover].tobytes()
