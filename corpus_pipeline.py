@@ -19,18 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, net).filter("predicted = 0").select(*docs.columns)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """docs with _o, a number of its own for each row in the order of doc_id: rows with null or repeated
-    ids are told apart by it."""
-    return span_dedup._numbered(docs.withColumn("_text", F.col("text"))).withColumn("text", F.col("_text")).drop("_text")
-
-
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each linked group stays: the one with the smallest doc_id (a null one is the largest)."""
-    rows = _rows(docs)
-    found = near_dedup.near_duplicates(rows.select(F.col("_o").alias("doc_id"), "text"))
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_o"))
-    return rows.join(gone, "_o", "left_anti").select(*docs.columns)
+    """One row of each linked group stays: the one with the smallest doc_id (a null one is the largest). Rows
+    are told apart by a number of their own, so those with null or repeated ids are decided one by one."""
+    rows = span_dedup.numbered(docs)
+    found = near_dedup.near_duplicates(rows.select(F.col("o").alias("doc_id"), "text"))
+    return rows.join(found.filter("not kept").select(F.col("doc_id").alias("o")), "o", "left_anti").select("row.*")
 
 
 def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +34,9 @@ def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window similar to a benchmark item go."""
-    rows = _rows(docs)
-    leaks = decontam.contaminated(rows.select(F.col("_o").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.join(leaks.select(F.col("doc_id").alias("_o")).distinct(), "_o", "left_anti").select(*docs.columns)
+    rows = span_dedup.numbered(docs)
+    leaks = decontam.contaminated(rows.select(F.col("o").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(leaks.select(F.col("doc_id").alias("o")).distinct(), "o", "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
