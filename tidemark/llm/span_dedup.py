@@ -37,11 +37,12 @@ _SPANS = pa.schema([("o", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, least: int, gram: int = GRAM):
-    """(text, where the anchor's windows begin in it, bytes that they cover, anchor's hash, hash of those bytes)."""
+    """(text, where the anchor's windows begin in it, bytes that they cover, where the anchor is in those, its hash,
+    the bytes' hash)."""
     n, reach = len(data), least - gram + 1
     none = np.zeros(0, np.int64)
     if n < least:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     rolling = Rolling(data)
     p = np.arange(n - gram + 1)
     h = rolling.spans(p, p + gram)
@@ -59,13 +60,13 @@ def anchors(data: np.ndarray, offs: np.ndarray, least: int, gram: int = GRAM):
     np.add.at(inside, offs[1:][long_] - least + 1, -1)
     own = np.flatnonzero(np.cumsum(inside)[: len(best)] > 0)
     if not len(own):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     place = (best[own] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     edge = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     place, start, end = place[edge], own[edge], own[np.append(edge[1:], len(own)) - 1] + least
     text = np.searchsorted(offs, place, "right") - 1
     ctx = rolling.spans(start, end) ^ mix((place - start).astype(np.uint64))
-    return text, start - offs[text], end - start, h[place].view(np.int64), ctx.view(np.int64)
+    return text, start - offs[text], end - start, place - start, h[place].view(np.int64), ctx.view(np.int64)
 
 
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
@@ -170,57 +171,105 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("o", F.monotonically_increasing_id()), "numbered")
 
 
-def _anchor_rows(least: int, gram: int, unit: int, find):
-    """A map over batches to ANCHORS. find(batch) gives (o, place, bytes, hash, ctx) arrays. Of equal contexts
-    in a batch only the first goes on: the others start later, so they are settled, and travel under
-    keys of their own. So a hot context is one row a batch."""
+class _At:
+    """Where a context lies in its text, in one number: its start, its size over `least`, and its anchor's place."""
+
+    def __init__(self, least: int):
+        self.least, self.bits = least, least.bit_length() + 1
+
+    def pack(self, start, size, place):
+        return start << 2 * self.bits | size - self.least << self.bits | place
+
+    def columns(self):
+        """s, e and p (the anchor's place) of a column `at`."""
+        low = (1 << self.bits) - 1
+        s = F.shiftright("at", 2 * self.bits)
+        return s.alias("s"), (s + F.shiftright("at", self.bits).bitwiseAND(low) + self.least).alias("e"), F.col("at").bitwiseAND(low).alias("p")
+
+
+def _anchor_rows(at_of: _At, find, carry: bool):
+    """A map over batches to ANCHORS, with the context's bytes if they are to be carried. find(batch) gives
+    (o, start, size, place, hash, ctx) arrays and a function from rows to contexts. Of equal contexts in a batch
+    only the first goes on: the others start later, so they are settled, and travel under keys of
+    their own. So a hot context is one row a batch."""
+    schema = pa.schema([*_ANCHORS, ("context", pa.binary())]) if carry else _ANCHORS
 
     def run(b):
-        for o, start, size, h, ctx in find(b):
-            at = start * unit + size - least
-            order = np.lexsort((at, o, ctx, h))
-            o, at, h, ctx = o[order], at[order], h[order], ctx[order]
-            again = np.append(False, (h[1:] == h[:-1]) & (ctx[1:] == ctx[:-1])) if len(h) else np.zeros(0, bool)
+        for o, start, size, place, h, ctx, bytes_of in find(b):
+            at, again = at_of.pack(start, size, place), np.zeros(len(h), bool)
+            order = np.argsort(ctx)
+            same = ctx[order][1:] == ctx[order][:-1]
+            twice = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+            twice = twice[np.lexsort((at[twice], o[twice], ctx[twice]))]
+            again[twice[1:][ctx[twice][1:] == ctx[twice][:-1]]] = True
             own = mix((o ^ at << 20).view(np.uint64)).view(np.int64)
-            yield batch(_ANCHORS, np.where(again, own, h), ctx, o, at, again)
+            more = [bytes_of(np.arange(len(h)))] if carry else []
+            yield batch(schema, np.where(again, own, h), ctx, o, at, again, *more)
 
     return run
 
 
-def _settle(every: DataFrame, least: int, unit: int):
+def _settle(every: DataFrame, at_of: _At):
     """(spans of contexts that are equal to an earlier one, the first of each of the others that share their
-    anchor: hash, ctx, o, at)."""
+    anchor: hash, o, s, e, p, and context where it is carried)."""
+    more = [c for c in every.columns if c == "context"]
     met = every.withColumn("n", F.count("*").over(W.partitionBy("hash"))).filter("n > 1 or settled").drop("n")
     met = stage(met, "anchors")
-    first = met.filter("not settled").groupBy("hash", "ctx").agg(F.min(F.struct("o", "at")).alias("f"))
-    first = stage(first.select("hash", "ctx", F.col("f.o").alias("o"), F.col("f.at").alias("at")), "contexts")
-    start = F.shiftright("at", unit.bit_length() - 1)
-    end = start + F.col("at") % unit + least
+    first = met.filter("not settled").groupBy("hash", "ctx").agg(F.min(F.struct("o", "at")).alias("f"), *[F.first(c).alias(c) for c in more])
+    first = stage(first.select("hash", "ctx", F.col("f.o").alias("o"), F.col("f.at").alias("at"), *more), "contexts")
+    s, e, p = at_of.columns()
     earlier = first.select("hash", "ctx", F.col("o").alias("o1"), F.col("at").alias("at1"))
-    copies = met.filter("not settled").join(earlier, ["hash", "ctx"]).filter("o <> o1 or at <> at1")
+    copies = met.filter("not settled").select("hash", "ctx", "o", "at").join(earlier, ["hash", "ctx"]).filter("o <> o1 or at <> at1")
     copies = copies.select("o", "at").unionByName(met.filter("settled").select("o", "at"))
-    return copies.select("o", start.alias("s"), end.alias("e")), first.select("hash", "o", start.alias("s"), end.alias("e"))
-
-
-def _compare(rows: DataFrame, least: int, load: int) -> DataFrame:
-    """Spans among rows (hash, o, s, context) of one hash each that start earlier in another of them."""
+    return copies.select("o", s, e), first.select("hash", "o", s, e, p, *more)
+
+
+def _shared_part(hashes: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, least: int, gram: int):
+    """(begin, size) of what of each context may have a window in common with another one of its hash; size 0
+    where nothing may. A window reaches `half` bytes to one side of its anchor at least, so without a
+    partner for those bytes on a side, only windows that reach less far there are left."""
+    half = -(-(least - gram) // 2)
+    rolling, at, end = Rolling(data), begin + place, begin + size
+    lo, hi = begin.copy(), end - least  # first and last start of a window
+    for a, z, left in ((at - half, at, True), (at + gram, at + gram + half, False)):
+        alone = np.ones(len(begin), bool)
+        inside = np.flatnonzero((a >= begin) & (z <= end))
+        key = rolling.spans(a[inside], z[inside]) ^ mix(hashes[inside].view(np.uint64))
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        if len(order):
+            alone[inside[order[np.append(same, False) | np.append(False, same)]]] = False
+        if left:
+            lo = np.where(alone, np.maximum(lo, at - half + 1), lo)
+        else:
+            hi = np.where(alone, np.minimum(hi, at + gram + half - least - 1), hi)
+    return lo, np.where(hi >= lo, hi + least - lo, 0)
+
+
+def _compare(rows: DataFrame, least: int, gram: int, load: int) -> DataFrame:
+    """Spans among rows (hash, o, s, p, context) of one hash each that start earlier in another of them."""
 
     def compare(batches):
         for b, at in whole_runs(batches, 1):
-            size = np.append(0, np.cumsum(np.asarray(pc.binary_length(b.column(3)))))
-            i = 0
+            hashes, o, s, p = (np.asarray(b.column(k)) for k in range(4))
+            c = b.column(4).cast(pa.large_binary())
+            offs = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+            data, offs = np.frombuffer(c.buffers()[2], np.uint8)[offs[0] : offs[-1]], offs - offs[0]
+            begin, size = _shared_part(hashes, data, offs[:-1], np.diff(offs), p, least, gram)
+            total, i = np.append(0, np.cumsum(size)), 0
             while i < len(at) - 1:  # runs of about `load` bytes together
-                j = max(i + 1, int(np.searchsorted(size[at], size[at[i]] + load, "right")) - 1)
-                part = b.slice(at[i], at[j] - at[i])
-                found = repeats([np.frombuffer(c.as_buffer(), np.uint8) for c in part.column(3)], np.asarray(part.column(1)), np.asarray(part.column(2)), least)
-                if found.shape[1]:
-                    yield batch(_SPANS, *found)
+                j = max(i + 1, int(np.searchsorted(total[at], total[at[i]] + load, "right")) - 1)
+                k = at[i] + np.flatnonzero(size[at[i] : at[j]])
+                if len(k) > 1:
+                    found = repeats([data[x : x + n] for x, n in zip(begin[k].tolist(), size[k].tolist(), strict=True)], o[k], s[k] + begin[k] - offs[k], least)
+                    if found.shape[1]:
+                        yield batch(_SPANS, *found)
                 i = j
 
     return rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(compare, "o long, s long, e long")
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, most: int = 1 << 14, load: int = 1 << 21) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = LEAST, most: int = 1 << 12, load: int = 1 << 21) -> DataFrame:
     """(o, s, e): bytes s to e-1 of text o are covered by strings of `least` bytes that start earlier too.
     docs: (o, text). Spans may overlap.
 
@@ -228,38 +277,42 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, most: int = 1 << 14, loa
     anchors of longer grams (twice the length, three times, ... up to `least` bytes), which equal windows
     share as well; a gram of `least` bytes is a whole window, whose contexts are all equal, so nothing is
     left to compare. load: bytes that a task compares at once."""
-    unit = 1 << least.bit_length()
+    at_of = _At(least)
     docs = docs.select("o", "text")
 
     def of_texts(b):
         for i, _, data, offs in blocks(b.column(1)):
-            text, start, size, h, ctx = anchors(data, offs, least)
-            yield np.asarray(b.column(0))[i + text], start, size, h, ctx
+            text, *rest = anchors(data, offs, least)
+            yield np.asarray(b.column(0))[i + text], *rest, None
 
-    every = map_arrow(docs, _anchor_rows(least, GRAM, unit, of_texts), ANCHORS)
+    every = map_arrow(docs, _anchor_rows(at_of, of_texts, False), ANCHORS)
     out, gram = None, GRAM
     while True:
-        spans, first = _settle(every, least, unit)
-        out = spans if out is None else out.unionByName(spans)
+        spans, first = _settle(every, at_of)
         several = first.groupBy("hash").agg(F.count("*").alias("d")).filter("d > 1")
-        asked = first.join(several, "hash").select("o", F.struct("hash", "s", "e", (F.col("d") > most).alias("hot")).alias("x"))
-        asked = asked.groupBy("o").agg(F.collect_list("x").alias("x"))  # at most one for each place of a window
-        got = stage(map_arrow(docs.join(asked, "o"), _cut, "hash long, o long, s long, context binary, hot boolean"), "bytes")
-        out = out.unionByName(_compare(got.filter("not hot").select("hash", "o", "s", "context"), least, load))
+        shared = first.join(several, "hash").withColumn("hot", F.col("d") > most)
+        if gram == GRAM:  # the bytes are fetched once; those of longer grams lie in them
+            asked = shared.select("o", F.struct("hash", "s", "e", "p", "hot").alias("x")).groupBy("o").agg(F.collect_list("x").alias("x"))  # one a place of a text at most
+            got = map_arrow(docs.join(asked, "o"), _cut, "hash long, o long, s long, p long, context binary, hot boolean")
+        else:
+            got = shared.select("hash", "o", "s", "p", "context", "hot")
+        got = stage(got, "bytes")
+        spans = spans.unionByName(_compare(got.filter("not hot").select("hash", "o", "s", "p", "context"), least, gram, load))
+        out = spans if out is None else out.unionByName(spans)
         hot = got.filter("hot").select("o", "s", "context")
         if gram >= least or hot.isEmpty():
             return out
         gram = min(least, gram + GRAM)
-        every = map_arrow(hot, _anchor_rows(least, gram, unit, _of_contexts(least, gram)), ANCHORS)
+        every = map_arrow(hot, _anchor_rows(at_of, _of_contexts(least, gram), True), ANCHORS + ", context binary")
 
 
-_CONTEXT = pa.schema([("hash", pa.int64()), ("o", pa.int64()), ("s", pa.int64()), ("context", pa.binary()), ("hot", pa.bool_())])
+_CONTEXT = pa.schema([("hash", pa.int64()), ("o", pa.int64()), ("s", pa.int64()), ("p", pa.int64()), ("context", pa.binary()), ("hot", pa.bool_())])
 
 
 def _cut(b):
     for k, (o, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
         raw, rows = text.as_py().encode(), b.column(2)[k].as_py()
-        yield batch(_CONTEXT, *zip(*((x["hash"], o, x["s"], raw[x["s"] : x["e"]], x["hot"]) for x in rows), strict=True))
+        yield batch(_CONTEXT, *zip(*((x["hash"], o, x["s"], x["p"], raw[x["s"] : x["e"]], x["hot"]) for x in rows), strict=True))
 
 
 def _of_contexts(least: int, gram: int):
@@ -267,8 +320,14 @@ def _of_contexts(least: int, gram: int):
         c = b.column(2).cast(pa.large_binary())
         offs = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
         data = np.frombuffer(c.buffers()[2], np.uint8)[offs[0] : offs[-1]]
-        which, start, size, h, ctx = anchors(data, offs - offs[0], least, gram)
-        yield np.asarray(b.column(0))[which], np.asarray(b.column(1))[which] + start, size, h, ctx
+        which, start, size, place, h, ctx = anchors(data, offs - offs[0], least, gram)
+        at = offs[which] - offs[0] + start
+
+        def bytes_of(rows):
+            size_of = np.append(0, np.cumsum(size[rows])).astype(np.int32)
+            return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(size_of), pa.py_buffer(data[ranges(at[rows], size[rows])].tobytes())])
+
+        yield np.asarray(b.column(0))[which], np.asarray(b.column(1))[which] + start, size, place, h, ctx, bytes_of
 
     return find
 
