@@ -81,6 +81,7 @@ class Encoder:
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added):
             raise ValueError("an added token that is not matched byte for byte")
         longest = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.letters = any(t.content.strip().isalpha() for t in added)  # an added token that might be in a word
         self.added = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         self._forget()
 
@@ -96,8 +97,13 @@ class Encoder:
         self.flat, self.start, self.size = array("I"), array("q"), array("q")
 
     def _encode(self, raw: bytes) -> list[int]:
+        if raw.isascii():
+            s = raw.decode("ascii")
+            if (s[1:] if s[0] == " " else s).isalpha() and not self.letters:  # one pre-token
+                return [t.id for t in self.model.tokenize(s.replace(" ", chr(_ALPHABET[32])))]
+            return self.tokenizer.encode(s, add_special_tokens=False).ids
         s = raw.decode("utf-8", "replace")
-        if _STEM.fullmatch(s) and not (self.added and self.added.search(raw)):  # one pre-token
+        if _STEM.fullmatch(s) and not (self.added and self.added.search(raw)):
             return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(_ALPHABET))]
         return self.tokenizer.encode(s, add_special_tokens=False).ids
 
@@ -161,8 +167,9 @@ class Encoder:
                 self._forget()
             before = self.slots.n
             self.slots.add(found)
-            for i in miss[first].tolist():
-                ids = self._encode(data[s[i] : e[i]].tobytes())
+            raw = data.tobytes()
+            for i, j in zip(s[miss[first]].tolist(), e[miss[first]].tolist(), strict=True):
+                ids = self._encode(raw[i:j])
                 self.start.append(len(self.flat))
                 self.size.append(len(ids))
                 self.flat.extend(ids)

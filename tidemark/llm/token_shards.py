@@ -57,23 +57,31 @@ class Pairs:
         self.last[firsts[1:][firsts[1:] > firsts[:-1]] - 1] = True
         self.of = np.full(n, -1, np.int32)  # number of the pair that begins here
         self.places, self.used = np.empty(3 * n, np.int32), 0  # of each pair; a replacement adds two at most
-        self.begin, self.size, self.count = (np.zeros(0, np.int64) for _ in range(3))
+        self.begin, self.size, self.count, self.pair = (np.zeros(0, np.int64) for _ in range(4))
+        self.top, self.place_bits = int(symbols.max(initial=0)), max(1, n.bit_length())
         self._add(np.arange(n))
 
     def _add(self, at: np.ndarray) -> None:
         """Number the frequent ones among the pairs that begin at these places."""
         at = at[~self.last[at]]
-        key = self.s[at].astype(np.uint64) << np.uint64(32) | self.s[self.next[at]]
+        bits = max(1, self.top.bit_length())
+        key = self.s[at].astype(np.uint64) << np.uint64(bits) | self.s[self.next[at]]
         if len(at) > 1 << 12:  # most are rare: sort only those that share a bucket with enough others
-            bits = max(12, min(22, len(at).bit_length()))
-            bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
-            often = np.bincount(bucket, minlength=1 << bits)[bucket] >= self.least
+            wide = max(12, min(22, len(at).bit_length()))
+            bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - wide)).astype(np.int32)
+            often = np.bincount(bucket, minlength=1 << wide)[bucket] >= self.least
             at, key = at[often], key[often]
-        order = np.argsort(key)
-        at, key = at[order], key[order]
+        if 2 * bits + self.place_bits <= 64:  # pair and place in one number sort faster than by reference
+            both = np.sort(key << np.uint64(self.place_bits) | at.astype(np.uint64))
+            key, at = both >> np.uint64(self.place_bits), (both & np.uint64((1 << self.place_bits) - 1)).astype(np.int64)
+        else:
+            order = np.argsort(key)
+            at, key = at[order], key[order]
         edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(edge, len(key)))
         edge, size = edge[size >= self.least], size[size >= self.least]
+        left = (key[edge] >> np.uint64(bits)).astype(np.int64)
+        self.pair = np.append(self.pair, left << 32 | (key[edge] & np.uint64((1 << bits) - 1)).astype(np.int64))
         at = at[ranges(edge, size)]
         self.of[at] = np.repeat(np.arange(len(self.size), len(self.size) + len(size)), size)
         self.places[self.used : self.used + len(at)] = at
@@ -87,7 +95,7 @@ class Pairs:
         (n, 2); none where no pair is frequent any more."""
         top = int(self.count.max(initial=0))
         if top < self.least:
-            return np.zeros((0, 2), np.uint32)
+            return np.zeros((0, 2), np.int64)
         chosen = np.flatnonzero(self.count >= max(self.least, top // 2 + 1))
         hits, own = self.places[ranges(self.begin[chosen], self.size[chosen])].astype(np.int64), np.repeat(chosen, self.size[chosen])
         still = self.of[hits] == own
@@ -96,8 +104,12 @@ class Pairs:
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(hits)), 0))
         hits = hits[(np.arange(len(hits)) - run) % 2 == 0]
         second = self.next[hits]
-        which, first, number = np.unique(self.of[hits], return_index=True, return_inverse=True)
-        rules = np.stack([self.s[hits[first]], self.s[second[first]]], axis=1)
+        which = np.flatnonzero(np.bincount(self.of[hits], minlength=len(self.count)))
+        number = np.zeros(len(self.count), np.int64)
+        number[which] = np.arange(len(which))
+        number = number[self.of[hits]]
+        rules = np.stack([self.pair[which] >> 32, self.pair[which] & 0xFFFFFFFF], axis=1)
+        self.top = max(self.top, symbol + len(which))
         changed = _merged(hits, second, self.prev[hits[hits > 0]])
         changed = changed[self.of[changed] >= 0]
         self.count -= np.bincount(self.of[changed], minlength=len(self.count))
@@ -118,7 +130,7 @@ def repair(symbols: np.ndarray, firsts: np.ndarray, base: int, least: int = LEAS
     """(symbols, firsts, rules): pairs replaced by nonterminals base, base+1, ..., the most frequent ones
     first, until no pair of neighbours occurs `least` times. firsts: where documents begin, and the end."""
     firsts = firsts.astype(np.int64)
-    pairs, rules = Pairs(symbols, firsts, least), [np.zeros((0, 2), np.uint32)]
+    pairs, rules = Pairs(symbols, firsts, least), [np.zeros((0, 2), np.int64)]
     made = 0
     while len(found := pairs.replace(base + made)):
         rules.append(found)
@@ -170,13 +182,19 @@ class Shard:
         self.symbols = take("<u2" if width == 2 else "<u4", symbols)
 
     def expand(self, s: np.ndarray) -> np.ndarray:
-        """Symbols to ids: each pass opens every nonterminal once."""
-        s = s.astype(np.uint32)
-        while len(big := np.flatnonzero(s >= self.base)):
-            pair = self.rules[s[big] - self.base]
-            s = np.insert(s, big + 1, pair[:, 1])
-            s[big + np.arange(len(big))] = pair[:, 0]
-        return s
+        """Symbols to ids. Rule lengths say where everything goes, so each pass only handles what is still open."""
+        s = s.astype(np.int64)
+        size = self.sizes(s)
+        at = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint32)
+        rules, lengths = self.rules.astype(np.int64), np.concatenate([[1], self.lengths])  # a plain id has length 1
+        while len(s):
+            done = s < self.base
+            out[at[done]] = s[done]
+            at, pair = at[~done], rules[s[~done] - self.base]
+            s = pair.T.ravel()
+            at = np.concatenate([at, at + lengths[np.maximum(pair[:, 0] - self.base + 1, 0)]])
+        return out
 
     def sizes(self, s: np.ndarray) -> np.ndarray:
         out = np.ones(len(s), np.int64)
