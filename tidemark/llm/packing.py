@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, path: str, keep_ids: boo
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         coder = Encoder.of(path)
         for b in batches:
-            for i, j, data, offs in blocks(b.column(1)):
+            for i, j, data, offs in blocks(b.column(1), 1 << 19):
                 ids, at = with_end(*coder.encode(data, offs), end_id)
                 total = np.diff(at)
                 many = -(-total // capacity)

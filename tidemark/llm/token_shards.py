@@ -52,14 +52,14 @@ class Pairs:
     def __init__(self, symbols: np.ndarray, firsts: np.ndarray, least: int):
         n = len(symbols)
         self.s, self.least = symbols.astype(np.uint32), least
-        self.next, self.prev = np.arange(1, n + 1), np.arange(-1, n - 1)
+        self.next, self.prev = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         self.last, self.out = np.zeros(n, bool), np.zeros(n, bool)  # last of its document; taken out
         self.last[firsts[1:][firsts[1:] > firsts[:-1]] - 1] = True
         self.of = np.full(n, -1, np.int32)  # number of the pair that begins here
         self.places, self.used = np.empty(3 * n, np.int32), 0  # of each pair; a replacement adds two at most
         self.begin, self.size, self.count, self.pair = (np.zeros(0, np.int64) for _ in range(4))
         self.top, self.place_bits = int(symbols.max(initial=0)), max(1, n.bit_length())
-        self._add(np.arange(n))
+        self._add(np.arange(n, dtype=np.int32))
 
     def _add(self, at: np.ndarray) -> None:
         """Number the frequent ones among the pairs that begin at these places."""
@@ -73,7 +73,7 @@ class Pairs:
             at, key = at[often], key[often]
         if 2 * bits + self.place_bits <= 64:  # pair and place in one number sort faster than by reference
             both = np.sort(key << np.uint64(self.place_bits) | at.astype(np.uint64))
-            key, at = both >> np.uint64(self.place_bits), (both & np.uint64((1 << self.place_bits) - 1)).astype(np.int64)
+            key, at = both >> np.uint64(self.place_bits), (both & np.uint64((1 << self.place_bits) - 1)).astype(np.int32)
         else:
             order = np.argsort(key)
             at, key = at[order], key[order]
@@ -97,7 +97,7 @@ class Pairs:
         if top < self.least:
             return np.zeros((0, 2), np.int64)
         chosen = np.flatnonzero(self.count >= max(self.least, top // 2 + 1))
-        hits, own = self.places[ranges(self.begin[chosen], self.size[chosen])].astype(np.int64), np.repeat(chosen, self.size[chosen])
+        hits, own = self.places[ranges(self.begin[chosen], self.size[chosen])], np.repeat(chosen, self.size[chosen])
         still = self.of[hits] == own
         hits = np.sort(hits[still])
         fresh = np.append(True, self.next[hits[:-1]] != hits[1:])
@@ -234,7 +234,7 @@ def write_shards(docs: DataFrame, end_id: int = 0, path: str = VOCABULARY, token
             n, doc_ids, held, sizes = n + 1, [], [], []
 
         for b in batches:
-            for i, j, data, offs in blocks(b.column(1)):
+            for i, j, data, offs in blocks(b.column(1), 1 << 19):
                 ids, at = with_end(*coder.encode(data, offs), end_id)
                 doc_ids += b.column(0).slice(i, j - i).to_pylist()
                 held.append(ids)
