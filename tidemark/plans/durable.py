@@ -31,7 +31,8 @@ class DurableReplica(Replica):
 
     def persist(self, force: bool = False) -> int | None:
         """A new generation of the store, unless nothing changed since the last."""
-        return self.store.persist(self.state, self.members, self.next_seq, force, self.acks)
+        with self.lock:  # what the snapshot covers in the log is what its state holds
+            return self.store.persist(self.state, self.members, self.next_seq, force, self.acks)
 
     def close(self) -> None:
         self.store.close()

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session
+    gets a temporary folder, and any other session one in the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        found = f"file://{tempfile.mkdtemp(prefix='work-')}" if local else spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 class Folder:
     """A folder by its URL. Names are relative to it."""
 
@@ -41,19 +55,32 @@ class Folder:
         """The file appears whole or not at all."""
         folder, _, last = name.rpartition("/")
         part = self._path(f"{folder}/.{last}.part" if folder else f".{last}.part")
-        stream = self._fs.create(part, True)
+        local = self._fs.getScheme() == "file"
+        stream = (self._fs.getRawFileSystem() if local else self._fs).create(part, True)
         try:
             stream.write(bytearray(content))
         finally:
             stream.close()
-        if self.exists(name):
-            self._fs.delete(self._path(name), False)
-        if not self._fs.rename(part, self._path(name)):
-            raise OSError(f"could not rename to {self.at(name)}")
+        if local:  # a checksum file beside the target would be of its former content
+            self._fs.getRawFileSystem().delete(self._fs.getChecksumFile(self._path(name)), False)
+            os.replace(part.toUri().getPath(), self._path(name).toUri().getPath())
+        else:
+            self._move(part, self._path(name), "OVERWRITE")
 
     def rename(self, name: str, to: str) -> None:
-        if not self._fs.rename(self._path(name), self._path(to)):
-            raise OSError(f"could not rename {self.at(name)}")
+        """Fails where `to` is there already."""
+        self._fs.mkdirs(self._path(to).getParent())
+        try:
+            self._move(self._path(name), self._path(to), "NONE")
+        except Exception as e:
+            raise OSError(f"could not rename {self.at(name)} to {self.at(to)}") from e
+
+    def _move(self, source, target, how: str) -> None:
+        fs = self._jvm.org.apache.hadoop.fs
+        kind = self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        options = self._jvm.java.lang.reflect.Array.newInstance(kind, 1)
+        self._jvm.java.lang.reflect.Array.set(options, 0, next(x for x in kind.getEnumConstants() if x.name() == how))
+        fs.FileContext.getFileContext(target.toUri(), self._conf).rename(source, target, options)
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

@@ -5,14 +5,18 @@
     snapshot-<generation>/      Parquet rows of a state
     generation-<n>.json         manifest: counts, members, next_seq, and the last wal_seq it covers
 
-A commit is one Parquet write, so a batch of any size costs one. Log and snapshots stay DataFrames; the
+A commit is one Parquet write, so a batch of any size costs one. It is written under a name of its own
+and then renamed, so it is in the log as a whole or not at all, and a failed one takes nothing along.
+One lock orders appends, commits and snapshots of a store's threads. Log and snapshots stay DataFrames; the
 driver holds manifests only. The log keeps what the generation before the newest lacks, so a damaged
 newest snapshot loses nothing."""
 
 from __future__ import annotations
 
 import json
+import threading
 import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.versions import ENTRY, FIELDS
 from ..operators import merge
-from .files import Folder
+from .files import Folder, shared_folder
 
 OPS = "op string, key string, value binary, node long, seq long, timestamp long, peer_id long, ack_seq long"
 _NAMES = [c.split()[0] for c in OPS.split(", ")]
@@ -37,8 +41,7 @@ class StoreError(RuntimeError):
 
 
 def row_crc():
-    cell = lambda c: F.coalesce(F.hex(F.col(c).cast("string")), F.lit("-"))
-    return F.crc32(F.encode(F.concat_ws("|", *[cell(c) for c in ["wal_seq", *_NAMES]]), "UTF-8"))
+    return merge.record_crc(["wal_seq", *_NAMES])
 
 
 def as_ops(rows: DataFrame) -> DataFrame:
@@ -101,7 +104,8 @@ class Store:
     def __init__(self, spark: SparkSession, url: str, node: int, sync_window_s: float = 0.0):
         self.spark, self.node, self.window = spark, node, sync_window_s
         if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{url.rstrip('/')}/.work")
+            spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        self._lock = threading.RLock()
         self.folder = Folder(spark, url)
         self.commits = self.rewritten = 0
         self.dirty = self.closed = self._snapshotting = False
@@ -147,6 +151,9 @@ class Store:
         that later appends can be reached; the last valid wal_seq."""
         good: list[str] = []
         cut = False
+        for name, _ in self.folder.names():
+            if name.startswith("commit-"):  # never got into the log
+                self.folder.delete(name)
         for name, whole in self._commits():
             cut = cut or not whole
             if cut:
@@ -186,22 +193,28 @@ class Store:
 
     def append(self, ops: DataFrame) -> None:
         """Durable operations to the log, in order of arrival: one commit, or held for the sync window."""
-        if self.closed:
-            raise StoreError("the store is closed")
-        self._held.append(as_ops(ops).filter(F.col("op").isin(DURABLE)))
-        if self.window <= 0 or time.monotonic() - self._last_sync >= self.window:
-            try:
-                self.sync()
-            except Exception:
-                self._held.pop()  # refused; what was held before stays for the next try
-                raise
-        self.dirty = True
+        with self._lock:
+            if self.closed:
+                raise StoreError("the store is closed")
+            mine = as_ops(ops).filter(F.col("op").isin(DURABLE))
+            self._held.append(mine)
+            if self.window <= 0 or time.monotonic() - self._last_sync >= self.window:
+                try:
+                    self.sync()
+                except Exception:
+                    self._held = [h for h in self._held if h is not mine]  # refused; what was held before stays for the next try
+                    raise
+            self.dirty = True
 
     def has_unsynced(self) -> bool:
         return bool(self._held)
 
     def sync(self) -> None:
         """Commit what is held. If that fails, it stays held, and nothing of it is in the log."""
+        with self._lock:
+            self._commit()
+
+    def _commit(self) -> None:
         held = list(self._held)
         if not held:
             return
@@ -211,11 +224,12 @@ class Store:
         n = rows.count()
         self._last_sync = time.monotonic()
         if n:
-            name = f"log/{self.last + 1:020d}"
+            written = f"commit-{uuid.uuid4().hex}"
             try:
-                rows.withColumn("crc", row_crc()).select(*[c.split()[0] for c in LOG.split(", ")]).write.parquet(self.folder.at(name))
+                rows.withColumn("crc", row_crc()).select(*[c.split()[0] for c in LOG.split(", ")]).write.parquet(self.folder.at(written))
+                self.folder.rename(written, f"log/{self.last + 1:020d}")
             except Exception:
-                self.folder.delete(name)
+                self.folder.delete(written)
                 raise
             self.last += n
             self.commits += 1
@@ -223,17 +237,19 @@ class Store:
 
     def sync_if_due(self) -> bool:
         """Commit if something is held and the window since the last commit is over. Idle: no commit."""
-        if self._held and time.monotonic() - self._last_sync >= self.window:
-            self.sync()
-            return True
-        return False
+        with self._lock:
+            if self._held and time.monotonic() - self._last_sync >= self.window:
+                self._commit()
+                return True
+            return False
 
     def log(self) -> DataFrame:
         return self._read([n for n, whole in self._commits() if whole])
 
     def reset(self) -> None:
         """Drop all log records. Their numbers are not given again."""
-        self.folder.delete("log")
+        with self._lock:
+            self.folder.delete("log")
 
     # snapshots
     def _manifests(self) -> list[dict]:
@@ -257,14 +273,15 @@ class Store:
     def persist(self, state: DataFrame, members: list[int] | None = None, next_seq: int = 1, force: bool = False, acks: dict[int, int] | None = None) -> int | None:
         """A new generation, unless nothing was appended since the last (force: in any case). Then the log
         keeps only what the generation before it lacks. If the write fails, the log stays as it was."""
-        if self._snapshotting:
-            raise StoreError("a snapshot is being written")
-        if not (self.dirty or force):
-            return None
-        self._snapshotting = True
-        try:
-            self.sync()
+        with self._lock:
+            if self._snapshotting:
+                raise StoreError("a snapshot is being written")
+            if not (self.dirty or force):
+                return None
+            self._commit()
             covered = self.last
+            self._snapshotting = True
+        try:  # appends go on meanwhile; their records lie behind what the manifest covers
             old = self._manifests()
             taken = [int(n.split("-")[1]) for n, _ in self.folder.names() if n.startswith("snapshot-")]
             generation = max([m["generation"] for m in old] + taken, default=0) + 1
@@ -273,11 +290,12 @@ class Store:
             rows = self._snapshot(name).count()
             manifest = _MANIFEST | {"node": self.node, "generation": generation, "rows": rows, "wal_last": covered, "members": members or [self.node], "next_seq": next_seq, "acks": acks or {}}
             self.folder.write(f"generation-{generation:012d}.json", json.dumps(manifest).encode())
-            self.dirty = bool(self._held)
-            for m in old[1:]:
-                self.folder.delete(f"generation-{m['generation']:012d}.json")
-                self.folder.delete(f"snapshot-{m['generation']:012d}")
-            self._trim(old[0]["wal_last"] if old else 0)
+            with self._lock:
+                self.dirty = bool(self._held) or self.last > covered
+                for m in old[1:]:
+                    self.folder.delete(f"generation-{m['generation']:012d}.json")
+                    self.folder.delete(f"snapshot-{m['generation']:012d}")
+                self._trim(old[0]["wal_last"] if old else 0)
             return generation
         finally:
             self._snapshotting = False
@@ -316,9 +334,10 @@ class Store:
         return merge.replay(base, ops), replay_members(members, ops), replay_next_seq(ops, self.node, max(floor, own + 1)).first()["next_seq"]
 
     def close(self) -> None:
-        if not self.closed:
-            self.sync()
-            self.closed = True
+        with self._lock:
+            if not self.closed:
+                self._commit()
+                self.closed = True
 
     def __enter__(self) -> Store:
         return self
