@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.versions import FIELDS, size_bytes
 
@@ -30,61 +32,90 @@ def entry_reason(limits: Limits, now_ms: int) -> Column:
     )
 
 
-def with_key_capacity(state: DataFrame, incoming: DataFrame, reason: Column, max_keys: int) -> DataFrame:
-    """incoming with `reason`, where new keys get places in the order of their first admissible arrival.
-    Only the first max_keys new keys are ranked together."""
-    marked = incoming.withColumn("reason", reason)
+def _no_rule() -> Column:
+    return F.lit(None).cast("string")
+
+
+def with_key_capacity(state: DataFrame, incoming: DataFrame, reason: Column, max_keys: int, rule: Column | None = None) -> DataFrame:
+    """incoming with `reason`. New keys get places in the order of their first entry that nothing else refuses
+    (an entry that the rule refuses takes no place); once all are taken, entries of other new keys are
+    refused for that, before the rule is asked. Only the first max_keys new keys are ranked together."""
+    marked = incoming.withColumn("_why", reason).withColumn("_rule", _no_rule() if rule is None else rule)
     room = max(0, max_keys - state.count())
-    fresh = marked.filter("reason is null").join(state.select("key"), "key", "left_anti").groupBy("key").agg(F.min("arrival").alias("_a"))
-    placed = fresh.orderBy("_a").limit(room).select("key")
-    turned = fresh.join(placed, "key", "left_anti").select("key", F.lit(True).alias("_full"))
-    joined = marked.join(turned, "key", "left")
-    return joined.withColumn("reason", F.coalesce("reason", F.when(F.col("_full"), "max_keys reached"))).drop("_full")
+    fresh = marked.filter("_why IS NULL AND _rule IS NULL").join(state.select("key"), "key", "left_anti").groupBy("key").agg(F.min("arrival").alias("_a"))
+    placed = fresh.orderBy("_a").limit(room) if room else fresh.limit(0)
+    taken, last = placed.agg(F.count("*"), F.max("_a")).first()
+    full = F.lit(True) if not room else F.col("arrival") > last if taken == room else F.lit(False)
+    known = state.select("key").unionByName(placed.select("key")).withColumn("_known", F.lit(True))
+    out = marked.join(known, "key", "left")
+    why = F.coalesce("_why", F.when(F.col("_known").isNull() & full, "max_keys reached"), "_rule")
+    return out.select(*incoming.columns, why.alias("reason"))
 
 
 def admit(state: DataFrame, incoming: DataFrame, limits: Limits, now_ms: int, policy: Callable[[], Column] | None = None) -> DataFrame:
-    """incoming with `reason` (null: admitted). policy makes a column: a reason, or null.
+    """incoming with `reason` (null: admitted). policy makes a column: a reason, or null. It is asked last, and
+    what it refuses takes up no capacity.
 
     Where the batch cannot reach the byte cap, all is columns; else capacity depends on the arrivals
-    before, and new keys' entries are folded in arrival order, which one task does."""
-    marked = with_key_capacity(state, incoming, entry_reason(limits, now_ms), limits.max_keys)
-    have = state.agg(F.coalesce(F.sum(size_bytes()), F.lit(0))).first()[0]
-    most = incoming.agg(F.coalesce(F.sum(size_bytes()), F.lit(0))).first()[0]
-    rule = policy() if policy else F.lit(None).cast("string")
+    before, and the entries of new keys are folded in their order."""
+    why, rule = entry_reason(limits, now_ms), policy() if policy else _no_rule()
+    have, keys = state.agg(F.coalesce(F.sum(size_bytes()), F.lit(0)), F.count("*")).first()
+    most, rows = incoming.filter(why.isNull() & rule.isNull()).agg(F.coalesce(F.sum(size_bytes()), F.lit(0)), F.count("*")).first()
+    if have + most < limits.max_total_bytes and keys + rows < limits.max_keys:  # no capacity can run out
+        return incoming.withColumn("reason", F.coalesce(why, rule))
     if have + most < limits.max_total_bytes:
-        return marked.withColumn("reason", F.coalesce("reason", rule))
-    return fold_capacity(state, marked.withColumn("_rule", rule), limits.max_total_bytes, have).drop("_rule")
-
-
-def fold_capacity(state: DataFrame, marked: DataFrame, cap: int, have: int) -> DataFrame:
-    """Byte capacity in arrival order: a new key is refused when the store with the batch so far is at the cap."""
-    old = state.select("key", size_bytes().alias("_old"), F.col("timestamp").alias("_t"), F.col("node").alias("_n"), F.col("seq").alias("_s"))
-    rows = marked.join(old, "key", "left").withColumn("_size", size_bytes())
-    columns = marked.columns
-    schema = marked.schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        return with_key_capacity(state, incoming, why, limits.max_keys, rule)
+    return fold_capacity(state, incoming.withColumn("_why", why).withColumn("_rule", rule), limits)
+
+
+def growth_of_known(state: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(arrival, grown): how many bytes each winning entry of a key in the state adds. Capacity never refuses
+    those, so it follows from columns alone."""
+    from .merge import decided
+
+    own = incoming.join(state.select("key"), "key", "left_semi")
+    won = decided(state, own).select("key", "arrival", size_bytes().alias("_size")).unionByName(state.select("key", F.lit(-1).cast("long").alias("arrival"), size_bytes().alias("_size")))
+    before = F.lag("_size").over(W.partitionBy("key").orderBy("arrival"))
+    return won.withColumn("grown", F.col("_size") - before).filter("arrival >= 0 AND grown IS NOT NULL").select("arrival", "grown")
+
+
+def fold_capacity(state: DataFrame, marked: DataFrame, limits: Limits) -> DataFrame:
+    """Both capacities in arrival order: a new key is refused when the store with the batch so far is at either.
+    marked: incoming with _why and _rule. One task reads the entries of new keys, and the growth of
+    known ones as numbers, a batch at a time; it remembers the new keys that got in, max_keys at most."""
+    columns = [c for c in marked.columns if c not in ("_why", "_rule")]
+    have, keys = state.agg(F.coalesce(F.sum(size_bytes()), F.lit(0)), F.count("*")).first()
+    settled = marked.filter("_why IS NOT NULL").unionByName(marked.filter("_why IS NULL").join(state.select("key"), "key", "left_semi").select(*marked.columns))
+    settled = settled.select(*columns, F.coalesce("_why", "_rule").alias("reason"))
+    fresh = marked.filter("_why IS NULL").join(state.select("key"), "key", "left_anti").select(*columns, "_rule").withColumn("_size", size_bytes()).withColumn("_grown", F.lit(None).cast("long"))
+    known = growth_of_known(state, marked.filter("_why IS NULL AND _rule IS NULL").select(*columns))
+    events = fresh.unionByName(known.select("arrival", F.col("grown").alias("_grown")), allowMissingColumns=True)
+    most, cap = limits.max_keys, limits.max_total_bytes
+
+    def fold(batches):
         held: dict = {}
-        total, reasons = have, []
-        pdf = pdf.sort_values("arrival")
-        for r in pdf.itertuples():
-            if r.key not in held and r.x_old is not None:
-                held[r.key] = (int(r.x_old), (int(r.x_t), int(r.x_n), int(r.x_s)))
-            why = r.reason
-            if why is None and r.key not in held and total >= cap:
-                why = "max_total_bytes reached"
-            why = why if why is not None else r.x_rule
-            if why is None:
-                stamp = (r.timestamp, r.node, r.seq)
-                if r.key not in held or stamp > held[r.key][1]:
-                    total += int(r.x_size) - (held[r.key][0] if r.key in held else 0)
-                    held[r.key] = (int(r.x_size), stamp)
-            reasons.append(why)
-        pdf = pdf.assign(reason=pd.Series(reasons, index=pdf.index, dtype=object))
-        return pdf.rename(columns={"x_rule": "_rule"})[columns]
-
-    names = {"_old": "x_old", "_t": "x_t", "_n": "x_n", "_s": "x_s", "_size": "x_size", "_rule": "x_rule"}
-    return rows.withColumnsRenamed(names).groupBy(F.lit(1).alias("_g")).applyInPandas(lambda pdf: fold(pdf.astype(object).where(pdf.notna(), None)), schema)
+        total, n = int(have), int(keys)
+        for pdf in batches:
+            reasons = []
+            for key, node, seq, stamp, rule, size, grown in zip(*(pdf[c].tolist() for c in ("key", "node", "seq", "timestamp", "_rule", "_size", "_grown")), strict=True):
+                if grown == grown and grown is not None:  # not NaN: a known key's growth
+                    total += int(grown)
+                    reasons.append(None)
+                    continue
+                version, why = (int(stamp), int(node), int(seq)), None
+                if key not in held:
+                    why = "max_keys reached" if n >= most else "max_total_bytes reached" if total >= cap else None
+                why = why or (rule if isinstance(rule, str) else None)
+                if why is None and (key not in held or version > held[key][1]):
+                    n += key not in held
+                    total += int(size) - (held[key][0] if key in held else 0)
+                    held[key] = (int(size), version)
+                reasons.append(why)
+            mine = pdf["_grown"].isna()
+            yield pdf.assign(reason=pd.Series(reasons, index=pdf.index, dtype=object))[mine][[*columns, "reason"]]
+
+    schema = T.StructType([*marked.select(*columns).schema.fields, T.StructField("reason", T.StringType())])
+    return settled.unionByName(events.repartition(1).sortWithinPartitions("arrival").mapInPandas(fold, schema))
 
 
 def merge_admitted(state: DataFrame, incoming: DataFrame, limits: Limits, now_ms: int, policy=None):
