@@ -6,16 +6,21 @@ replica bootstraps, it does not adopt a requester's acks."""
 
 from __future__ import annotations
 
+import functools
+import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.versions import ENTRY, FIELDS
+from ..functions.versions import ENTRY, FIELDS, forced
 from ..operators import admission, delta, digest, merge
 from ..operators import members as membership
 from ..operators.merge import MergeOutcome
+from ..sources.files import shared_folder
+from .transport import InProcess, Transport
 
 
 @dataclass
@@ -28,6 +33,8 @@ class Config:
     coalesce_s: float = 0.2
     limits: admission.Limits = field(default_factory=admission.Limits)
     policy: object = None
+    fan_out: int = 8  # peers that are talked to at once
+    loose_rows: int = 1024  # changed rows that are kept beside the pinned state
 
 
 @dataclass
@@ -47,6 +54,45 @@ class Envelope:
         return self.cursor is None and not self.push_only
 
 
+class Watch:
+    """A signal without content that only says: something was set since you last looked. Signals that nobody
+    has taken are one signal."""
+
+    def __init__(self, key: str | None = None, prefix: str = ""):
+        self.key, self.prefix, self.closed = key, prefix, False
+        self._set = threading.Event()
+
+    def matches(self) -> object:
+        return F.col("key") == self.key if self.key is not None else F.col("key").startswith(self.prefix)
+
+    def signal(self) -> None:
+        self._set.set()
+
+    def wait(self, seconds: float | None = None) -> bool:
+        """Take the signal, if there is one within that time."""
+        if not self._set.wait(seconds):
+            return False
+        self._set.clear()
+        return True
+
+    def pending(self) -> bool:
+        return self._set.is_set()
+
+    def close(self) -> None:
+        self.closed = True
+
+
+def _locked(f):
+    """One message or write of a replica at a time: its entries and coverage belong together."""
+
+    @functools.wraps(f)
+    def inner(self, *args, **more):
+        with self.lock:
+            return f(self, *args, **more)
+
+    return inner
+
+
 class IdentityError(RuntimeError):
     pass
 
@@ -60,7 +106,10 @@ class Replica:
         self.spark, self.node, self.members = spark, node, list(dict.fromkeys([node, *peers]))
         self.config, self.uuid = config or Config(), uuid or node.to_bytes(16, "big")
         self.known = known  # expected uuids of peers, where identity is checked
-        self.state: DataFrame = spark.createDataFrame([], ENTRY)
+        self.lock = threading.RLock()
+        self._base: DataFrame = spark.createDataFrame([], ENTRY)
+        self._loose: dict[str, tuple] = {}  # entries that replace those of the base, a bounded number
+        self.watchers: list[Watch] = []
         self.acks: dict[int, int] = {}
         self.peer_acks: dict[int, dict[int, int]] = {}
         self.next_seq, self.bootstrapping = 1, False
@@ -80,45 +129,84 @@ class Replica:
         r.next_seq = own + 1
         return r
 
+    @property
+    def state(self) -> DataFrame:
+        """The entries as they are now; later changes make another table."""
+        if not self._loose:
+            return self._base
+        rows = self.spark.createDataFrame(list(self._loose.values()), ENTRY)  # config.loose_rows at most
+        return self._base.join(rows.select("key"), "key", "left_anti").select(*FIELDS).unionByName(rows)
+
     def _set(self, state: DataFrame) -> None:
         """Pin a version: entries and acks of one message come from the same state."""
-        self.state = self._pin(state.select(*FIELDS))
+        self._base, self._loose = self._pin(state.select(*FIELDS)), {}
+
+    def _overlay(self, rows: list) -> None:
+        """Entries that replace what is there; the whole state is only pinned again once there are many."""
+        for r in rows:
+            self._loose[r[0]] = tuple(r)
+        if len(self._loose) > self.config.loose_rows:
+            self._set(self.state)
 
     def _pin(self, rows: DataFrame) -> DataFrame:
         if not self.spark.sparkContext.getCheckpointDir():
-            self.spark.sparkContext.setCheckpointDir(_shared(self.spark))
+            self.spark.sparkContext.setCheckpointDir(shared_folder(self.spark))
         return rows.checkpoint()
 
+    # watchers
+    def watch_key(self, key: str) -> Watch:
+        self.watchers.append(Watch(key))
+        return self.watchers[-1]
+
+    def watch_prefix(self, prefix: str) -> Watch:
+        self.watchers.append(Watch(prefix=prefix))
+        return self.watchers[-1]
+
+    def _notify(self, changed: DataFrame) -> None:
+        """One look at the keys that were set, for all watchers that have no signal yet; closed ones are dropped."""
+        self.watchers = [w for w in self.watchers if not w.closed]
+        if waiting := [w for w in self.watchers if not w.pending()]:
+            hit = changed.agg(*[F.coalesce(F.bool_or(w.matches()), F.lit(False)).alias(f"w{i}") for i, w in enumerate(waiting)]).first()
+            for w, yes in zip(waiting, hit, strict=True):
+                if yes:
+                    w.signal()
+
     def _log(self, ops: DataFrame) -> None:
         """Called before operations take effect; a durable replica keeps them here or raises LogError."""
 
     def digest(self) -> str:
-        return digest.state_digest(self.state).first()["digest"]
+        """Equal for equal states; made of buckets, so of a state of any size."""
+        return digest.combined_digest(self.state).first()["digest"]
 
     # local writes: no version comparison and no admission
+    @_locked
     def put(self, key: str, value: bytes | None, now_ms: int | None = None):
         now = int(time.time() * 1000) if now_ms is None else now_ms
         row = (key, None if value is None else bytearray(value), self.node, self.next_seq, now)
         self.next_seq += 1
         new = self.spark.createDataFrame([row], ENTRY)
         self._log(new)  # if it fails, the seq is not used again
-        self._set(self.state.filter(F.col("key") != key).unionByName(new))
+        self._overlay([row])
+        self._notify(new)
         self.acks[self.node] = max(self.acks.get(self.node, 0), row[3])
         if len(self.queue) >= self.config.max_entries:
             self.queue.clear()
         self.queue.append(key)
         return row
 
+    @_locked
     def force_put(self, key: str, value: bytes, now_ms: int | None = None):
         now = int(time.time() * 1000) if now_ms is None else now_ms
-        old = self.state.filter(F.col("key") == key).select("timestamp").first()
-        return self.put(key, value, max(now, min(old["timestamp"] + 1, (1 << 63) - 1)) if old else now)
+        old = self.state.filter(F.col("key") == key).select(forced(now)).first()
+        return self.put(key, value, old[0] if old else now)
 
+    @_locked
     def delete(self, key: str, now_ms: int | None = None):
         old = self.state.filter(F.col("key") == key).first()
         self.put(key, None, now_ms)
         return old
 
+    @_locked
     def put_all(self, rows: DataFrame, now_ms: int | None = None) -> int:
         """Local writes of many keys (each once; a null value deletes), numbered in key order and logged
         together; how many. Where they overflow the push queue, the next round carries them."""
@@ -133,6 +221,7 @@ class Replica:
         self.next_seq += n
         self._log(new.withColumn("arrival", F.col("seq")))
         self._set(self.state.join(new.select("key"), "key", "left_anti").unionByName(new))
+        self._notify(new)
         self.acks[self.node] = max(self.acks.get(self.node, 0), self.next_seq - 1)
         if len(self.queue) + n > self.config.max_entries:
             self.queue.clear()
@@ -141,11 +230,13 @@ class Replica:
         return n
 
     # membership
+    @_locked
     def add_peer(self, peer: int) -> None:
         if peer not in self.members:
             self._log(self.spark.createDataFrame([("AddPeer", peer)], "op string, peer_id long"))
             self.members.append(peer)
 
+    @_locked
     def remove_peer(self, peer: int) -> None:
         """Its coverage goes too, so nobody waits for its reports any more. A node does not remove itself."""
         if peer in self.members and peer != self.node:
@@ -156,6 +247,7 @@ class Replica:
                 known.pop(peer, None)
             self.reset_next.discard(peer)
 
+    @_locked
     def collect_garbage(self) -> int:
         """Drop tombstones that every peer has covered; how many."""
         reports = self.spark.createDataFrame([(p, o, a) for p, acks in self.peer_acks.items() for o, a in acks.items()], "peer long, origin long, ack long")
@@ -167,6 +259,7 @@ class Replica:
         return n
 
     # coverage
+    @_locked
     def adopt(self, acks: dict[int, int]) -> None:
         for n, a in acks.items():
             self.acks[n] = max(self.acks.get(n, 0), a)
@@ -179,6 +272,7 @@ class Replica:
         top = delta.max_own_seq(self.state, self.node).first()["max_seq"]
         self.next_seq = max(self.next_seq, top + 1, self.acks.get(self.node, 0) + 1)
 
+    @_locked
     def merge_batch(self, entries: DataFrame, now_ms: int | None = None) -> MergeOutcome:
         now = int(time.time() * 1000) if now_ms is None else now_ms
         rows = entries if "arrival" in entries.columns else entries.withColumn("arrival", F.monotonically_increasing_id())
@@ -193,7 +287,12 @@ class Replica:
             except LogError:  # nothing landed, and its acks must not be adopted
                 self.rejected += rejected
                 return MergeOutcome(0, rejected, False)
-            self._set(merge.merge(self.state, good))
+            if merged <= self.config.loose_rows:
+                self._overlay([tuple(r) for r in merge.lww(winners).select(*FIELDS).collect()])
+            else:
+                self._set(merge.merge(self.state, good))
+            if self.watchers:
+                self._notify(winners)
         self.merged += merged
         self.rejected += rejected
         return MergeOutcome(merged, rejected, rejected == 0)
@@ -204,6 +303,7 @@ class Replica:
         return self.spark.createDataFrame([tuple(r[c] for c in FIELDS) for r in rows], ENTRY), last, len(rows)
 
     # messages
+    @_locked
     def prepare_sync(self, peer: int) -> Envelope:
         entries, cursor, _ = self._page(self.peer_acks.get(peer, {}))
         return Envelope(self.node, self.uuid, dict(self.acks), entries, cursor=cursor, reset_acks=peer in self.reset_next)
@@ -212,6 +312,7 @@ class Replica:
         if self.known and sender in self.known and self.known[sender] != uuid:
             raise IdentityError(f"node {sender} has another uuid")
 
+    @_locked
     def handle(self, e: Envelope, resume: tuple[int, int] | None = None) -> Envelope | None:
         self.check_identity(e.sender, e.uuid)
         if e.push_only:
@@ -224,6 +325,7 @@ class Replica:
         entries, cursor, _ = self._page({} if e.reset_acks else e.acks, resume)
         return Envelope(self.node, self.uuid, dict(self.acks), entries, self.digest(), cursor)
 
+    @_locked
     def apply(self, e: Envelope, round_complete: bool = True) -> MergeOutcome:
         done = self.merge_batch(e.entries)
         done.complete = done.complete and round_complete
@@ -236,6 +338,7 @@ class Replica:
         done.resume_from = e.cursor
         return done
 
+    @_locked
     def take_push(self) -> Envelope | None:
         """Current entries of the queued keys; the queue is small (at most max_entries keys)."""
         keys, self.queue = list(dict.fromkeys(self.queue)), []
@@ -244,11 +347,13 @@ class Replica:
         return Envelope(self.node, self.uuid, {}, self.state.filter(F.col("key").isin(keys)), push_only=True)
 
     # the older protocol: no paging, no adoption by the server
+    @_locked
     def handle_v1(self, sender: int, entries: DataFrame, acks: dict[int, int]):
         self.merge_batch(entries)
         self.peer_acks[sender] = dict(acks)
         return delta.delta(self.state, acks), dict(self.acks), True
 
+    @_locked
     def apply_v1(self, entries: DataFrame, progress: dict[int, int], is_snapshot: bool) -> MergeOutcome:
         done = self.merge_batch(entries)
         if done.complete and is_snapshot:
@@ -257,69 +362,98 @@ class Replica:
         return done
 
 
-def _shared(spark) -> str:
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-
-
-def sync_round(a: Replica, b: Replica) -> MergeOutcome:
-    """a asks b: all pages, then the divergence check. Counts of the outcome are of the whole round."""
-    request = a.prepare_sync(b.node)
-    answer = b.handle(request)
-    a.reset_next.discard(b.node)
+def round_with(a: Replica, peer: int, by: Transport) -> MergeOutcome | None:
+    """a asks a peer: all pages, then the divergence check. Counts of the outcome are of the whole round.
+    None: the peer does not speak this protocol."""
+    request = a.prepare_sync(peer)
+    answer = by.sync(peer, request)
+    if answer is None:
+        return None
+    a.reset_next.discard(peer)
     out = a.apply(answer)
     total = MergeOutcome(out.merged, out.rejected, out.complete, out.peer_delta_empty, out.digest_match, None, out.acks_adopted)
     while out.resume_from is not None:
         empty = a.spark.createDataFrame([], ENTRY)
-        answer = b.handle(Envelope(a.node, a.uuid, request.acks, empty, cursor=(0, 0), reset_acks=request.reset_acks), out.resume_from)
+        answer = by.sync(peer, Envelope(a.node, a.uuid, request.acks, empty, cursor=(0, 0), reset_acks=request.reset_acks), out.resume_from)
         out = a.apply(answer, total.complete)
         total.merged, total.rejected, total.complete = total.merged + out.merged, total.rejected + out.rejected, out.complete
         total.acks_adopted, total.digest_match = out.acks_adopted, out.digest_match
     if total.merged == 0 and total.peer_delta_empty and total.digest_match is not None:  # quiescent
-        a.mismatches[b.node] = 0 if total.digest_match else a.mismatches.get(b.node, 0) + 1
-        if a.mismatches[b.node] >= a.config.digest_check_rounds:
-            a.mismatches[b.node] = 0
-            a.reset_peer_coverage(b.node)
-            a.reset_next.add(b.node)
+        a.mismatches[peer] = 0 if total.digest_match else a.mismatches.get(peer, 0) + 1
+        if a.mismatches[peer] >= a.config.digest_check_rounds:
+            a.mismatches[peer] = 0
+            a.reset_peer_coverage(peer)
+            a.reset_next.add(peer)
     return total
 
 
-def sync_v1(a: Replica, b: Replica) -> MergeOutcome:
-    entries, progress, snapshot = b.handle_v1(a.node, a.spark.createDataFrame([], ENTRY), a.acks)
+def older_round_with(a: Replica, peer: int, by: Transport) -> MergeOutcome:
+    entries, progress, snapshot = by.sync_v1(peer, a.node, a.spark.createDataFrame([], ENTRY), a.acks)
     return a.apply_v1(entries, progress, snapshot)
 
 
-def sync_to(a: Replica, b: Replica, speaks_v2: bool = True, now: float | None = None) -> MergeOutcome:
-    """The newer protocol, unless the peer is known to lack it; it is tried again after a while."""
+def talk_to(a: Replica, peer: int, by: Transport, now: float | None = None) -> MergeOutcome:
+    """The newer protocol, unless the peer is known to lack it; it is tried again after a while. A failure is
+    no sign that the peer lacks it."""
     now = time.time() if now is None else now
-    if b.node in a.legacy and now - a.legacy[b.node] < a.config.reprobe_s:
-        return sync_v1(a, b)
-    if not speaks_v2:
-        a.legacy[b.node] = now
-        return sync_v1(a, b)
-    a.legacy.pop(b.node, None)
-    return sync_round(a, b)
+    if peer in a.legacy and now - a.legacy[peer] < a.config.reprobe_s:
+        return older_round_with(a, peer, by)
+    out = round_with(a, peer, by)
+    if out is None:
+        a.legacy[peer] = now
+        return older_round_with(a, peer, by)
+    a.legacy.pop(peer, None)
+    return out
 
 
-def sync_all(a: Replica, peers: list[Replica]) -> dict[int, MergeOutcome | None]:
-    """Rounds with all peers; a failure counts against its peer and stops nothing."""
-    out: dict[int, MergeOutcome | None] = {}
-    for b in peers:
+def talk_to_all(a: Replica, peers: list[int], by: Transport) -> dict[int, MergeOutcome | None]:
+    """Rounds with all peers, some at once; a failure counts against its peer and stops nothing."""
+
+    def one(peer: int) -> MergeOutcome | None:
         try:
-            out[b.node] = sync_to(a, b)
-            a.failures[b.node] = 0
+            out = talk_to(a, peer, by)
+            a.failures[peer] = 0
+            return out
         except Exception:
-            a.failures[b.node] = a.failures.get(b.node, 0) + 1
-            out[b.node] = None
-    return out
+            a.failures[peer] = a.failures.get(peer, 0) + 1
+            return None
 
+    if not peers:
+        return {}
+    with ThreadPoolExecutor(min(a.config.fan_out, len(peers))) as pool:
+        return dict(zip(peers, pool.map(one, peers), strict=True))
 
-def push(a: Replica, peers: list[Replica]) -> None:
+
+def push_to(a: Replica, peers: list[int], by: Transport) -> None:
+    """What is queued goes to all peers that speak the newer protocol; what does not arrive, a round brings."""
     if (e := a.take_push()) is not None:
-        for b in peers:
-            if b.node not in a.legacy:
-                b.handle(e)
+        for peer in peers:
+            if peer not in a.legacy:
+                try:
+                    by.push(peer, e)
+                    a.failures[peer] = 0
+                except Exception:
+                    a.failures[peer] = a.failures.get(peer, 0) + 1
+
+
+def sync_round(a: Replica, b: Replica) -> MergeOutcome:
+    return round_with(a, b.node, InProcess([b]))
+
+
+def sync_v1(a: Replica, b: Replica) -> MergeOutcome:
+    return older_round_with(a, b.node, InProcess([b]))
+
+
+def sync_to(a: Replica, b: Replica, speaks_v2: bool = True, now: float | None = None) -> MergeOutcome:
+    return talk_to(a, b.node, InProcess([b], older=() if speaks_v2 else (b.node,)), now)
+
+
+def sync_all(a: Replica, peers: list[Replica]) -> dict[int, MergeOutcome | None]:
+    return talk_to_all(a, [b.node for b in peers], InProcess(peers))
+
+
+def push(a: Replica, peers: list[Replica]) -> None:
+    push_to(a, [b.node for b in peers], InProcess(peers))
 
 
 def bootstrap(a: Replica, peers: list[Replica]) -> None:
