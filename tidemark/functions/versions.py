@@ -14,6 +14,13 @@ def version() -> Column:
     return F.struct("timestamp", "node", "seq")
 
 
+def forced(now_ms: int) -> Column:
+    """A timestamp above the entry's own one and not before now; the largest one stays what it is."""
+    most = (1 << 63) - 1
+    above = F.when(F.col("timestamp") < most, F.col("timestamp") + F.when(F.col("timestamp") < most, 1).otherwise(0)).otherwise(most)
+    return F.greatest(F.lit(now_ms).cast("long"), above)
+
+
 def is_tombstone() -> Column:
     return F.col("value").isNull()
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .members import peer_status
+
 
 def replica_consistency(files: DataFrame, replicas: int) -> DataFrame:
     """files(dir_id, name, content): per name copies, versions, consistent (in every directory, all equal)."""
@@ -17,6 +19,11 @@ def debug_state(state: DataFrame, prefix: str) -> DataFrame:
     return rows.select(F.expr(f"substring(key, {len(prefix) + 1})").alias("name"), F.coalesce(F.octet_length("value"), F.lit(0)).alias("value_size"), F.col("value").isNull().alias("is_tombstone"), "timestamp", "seq", F.col("node").alias("origin"))
 
 
+def debug_acks(members: DataFrame, own: int, acks: DataFrame, peer_acks: DataFrame) -> DataFrame:
+    """(peer, ack, peer_ack) of every other member: what is covered here, and what it said it covers of own's."""
+    return peer_status(members, own, acks, peer_acks).filter(F.col("id") != own).select(F.col("id").alias("peer"), "ack", "peer_ack")
+
+
 def debug_raw(state: DataFrame, most: int = 100) -> DataFrame:
     text = F.col("value").cast("string")
     preview = F.when(F.octet_length(text) > most, F.concat(F.expr(f"left(cast(value as string), {most})"), F.lit("..."))).otherwise(text)

@@ -45,14 +45,15 @@ def page(state: DataFrame, acks: dict[int, int], cursor: tuple[int, int] | None
     return kept.withColumn("more", F.col("_all") > F.count("*").over(W.partitionBy())).drop("_n", "_b", "_all")
 
 
-def pages_by_count(state: DataFrame, acks: dict[int, int], max_entries: int) -> DataFrame:
-    """All pages at once under the entry budget: column page from 0. Ranks inside an origin add to the
-    counts of the origins before it, so no window runs over the whole delta."""
-    d = delta(state, acks)
-    sizes = d.groupBy("node").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_before", F.sum("_c").over(W.orderBy("node")) - F.col("_c")).drop("_c")  # a row an origin
-    ranked = d.withColumn("_r", F.row_number().over(W.partitionBy("node").orderBy("seq"))).join(before, "node")
-    return ranked.withColumn("page", F.expr(f"(_before + _r - 1) div {int(max_entries)}")).drop("_r", "_before")
+def pages_by_count(state: DataFrame, acks: dict[int, int], max_entries: int, stretch: int = 1 << 16) -> DataFrame:
+    """All pages at once under the entry budget: column page from 0. Rows are ranked inside stretches of an
+    origin's seqs, and the counts of the stretches before add to that, so no task sees a whole origin."""
+    d = delta(state, acks).withColumn("_s", F.floor(F.col("seq") / stretch))
+    sizes = d.groupBy("node", "_s").agg(F.count("*").alias("_c"))
+    origins = sizes.groupBy("node").agg(F.sum("_c").alias("_n")).withColumn("_o", F.sum("_n").over(W.orderBy("node")) - F.col("_n")).drop("_n")  # a row an origin
+    before = sizes.withColumn("_b", F.sum("_c").over(W.partitionBy("node").orderBy("_s")) - F.col("_c")).join(origins, "node").select("node", "_s", (F.col("_b") + F.col("_o")).alias("_before"))
+    ranked = d.withColumn("_r", F.row_number().over(W.partitionBy("node", "_s").orderBy("seq"))).join(before, ["node", "_s"])
+    return ranked.select(*state.columns, F.expr(f"(_before + _r - 1) div {int(max_entries)}").alias("page"))
 
 
 def pages(state: DataFrame, acks: dict[int, int], max_entries: int = 4096, max_bytes: int = 4 << 20):

@@ -33,6 +33,13 @@ def bucketed_digest(state: DataFrame, buckets: int = 4096) -> DataFrame:
     return rows.groupBy("bucket").agg(F.expr("sha2(unhex(listagg(_h) WITHIN GROUP (ORDER BY key)), 256)").alias("digest"))
 
 
+def combined_digest(state: DataFrame, buckets: int = 4096) -> DataFrame:
+    """One row: a digest of the buckets' digests. Equal for equal states like state_digest, but no cell
+    holds more than one bucket, so it is for states of any size."""
+    parts = bucketed_digest(state, buckets).select("bucket", F.concat(F.lpad(F.hex("bucket"), 8, "0"), F.upper("digest")).alias("_h"))
+    return parts.agg(F.expr("sha2(unhex(coalesce(listagg(_h) WITHIN GROUP (ORDER BY bucket), '')), 256)").alias("digest"))
+
+
 def short(column):
     return F.substring(column, 1, 16)
 

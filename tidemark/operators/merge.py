@@ -36,11 +36,20 @@ def merge(state: DataFrame, incoming: DataFrame) -> DataFrame:
     return lww(stored.unionByName(incoming.select(*FIELDS, F.col("arrival").cast("long"))))
 
 
-def decided(state: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming entries that beat everything before them, in arrival order: stored entries come first."""
-    both = state.select(*FIELDS).withColumn("arrival", F.lit(-1).cast("long")).unionByName(incoming.select(*FIELDS, F.col("arrival").cast("long")))
-    before = F.max(version()).over(W.partitionBy("key").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1))
-    return both.withColumn("_b", before).filter((F.col("arrival") >= 0) & (F.col("_b").isNull() | (version() > F.col("_b")))).drop("_b")
+def decided(state: DataFrame, incoming: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Incoming entries that beat everything before them, in arrival order: stored entries come first.
+
+    The best version of each key is found for every `width` arrivals first, by partial aggregation; what
+    came before a stretch follows from those. So a key's entries are sorted a stretch at a time."""
+    rows = incoming.select(*FIELDS, F.col("arrival").cast("long")).withColumn("_w", F.floor(F.col("arrival") / width))
+    best = rows.groupBy("key", "_w").agg(F.max(version()).alias("_v"))
+    best = best.unionByName(state.select("key", F.lit(None).cast("long").alias("_w"), version().alias("_v")))  # null sorts first
+    earlier = best.withColumn("_p", F.max("_v").over(W.partitionBy("key").orderBy(F.col("_w").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)))
+    earlier = earlier.filter("_w IS NOT NULL").select("key", "_w", "_p")
+    inside = F.max(version()).over(W.partitionBy("key", "_w").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1))
+    before = F.greatest("_i", "_p")  # skips nulls
+    out = rows.withColumn("_i", inside).join(earlier, ["key", "_w"])
+    return out.filter(before.isNull() | (version() > before)).select(*FIELDS, "arrival")
 
 
 def net_effect(state: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -75,6 +84,7 @@ def valid_prefix(ops: DataFrame) -> DataFrame:
     return ops.crossJoin(F.broadcast(bad)).filter(F.col("_bad").isNull() | (F.col("wal_seq") < F.col("_bad"))).drop("_bad")  # bad is one row
 
 
-def record_crc():
+def record_crc(columns=("wal_seq", "op", "key", "value", "node", "seq", "timestamp")):
+    """The checksum of a log record's columns."""
     cell = lambda c: F.coalesce(F.hex(F.col(c).cast("string")), F.lit("-"))
-    return F.crc32(F.encode(F.concat_ws("|", *[cell(c) for c in ("wal_seq", "op", "key", "value", "node", "seq", "timestamp")]), "UTF-8"))
+    return F.crc32(F.encode(F.concat_ws("|", *[cell(c) for c in columns]), "UTF-8"))

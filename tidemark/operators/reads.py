@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -21,6 +22,16 @@ def iterate(state: DataFrame, prefix: str = "", tombstones: bool = False):
     return by_prefix(state, prefix, tombstones).orderBy("key").toLocalIterator()
 
 
+def ranked(state: DataFrame, prefix: str = "", tombstones: bool = False, stretch: int = 3) -> DataFrame:
+    """Rows with `rank`, their place in key order from 1. Rows are ranked among keys that go on alike for
+    `stretch` characters behind the prefix, and the counts of the groups before add to that."""
+    rows = by_prefix(state, prefix, tombstones).withColumn("_g", F.substring("key", len(prefix) + 1, stretch))
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("_c"))
+    before = sizes.select("_g", (F.sum("_c").over(W.orderBy("_g")) - F.col("_c")).alias("_before"))  # a row a group
+    out = rows.join(before, "_g").withColumn("rank", F.col("_before") + F.row_number().over(W.partitionBy("_g").orderBy("key")))
+    return out.drop("_g", "_before")
+
+
 def live(state: DataFrame) -> DataFrame:
     return state.filter(F.col("value").isNotNull())
 

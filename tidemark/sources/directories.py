@@ -1,10 +1,15 @@
 """Directories as keyed state: listing, changes between listings, and writing a state to a directory.
 
 Only regular files directly in the directory count. Spark's file index leaves out names with a leading
-dot or underscore and empty files; those are added by the driver, up to a checked number of bytes."""
+dot or underscore and empty files; those are added by the driver, up to a checked number of bytes, beyond
+which reading fails. Left out are half-written files of this module (.<name>.part) and the checksum
+files that a local file system keeps beside a file (.<name>.crc)."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +23,9 @@ def read_directory(spark: SparkSession, url: str, most_hidden_bytes: int = 64 <<
     """(name, content) of each file. An empty directory has no rows."""
     folder = Folder(spark, url)
     found = folder.names(files_only=True)
-    hidden = [(n, size) for n, size in found if n[0] in "._" and not n.endswith((".part", ".crc"))]
+    names = {n for n, _ in found}
+    ours = lambda n: n[0] == "." and (n.endswith(".part") or n.endswith(".crc") and (n[1:-4] in names or n[1:-4].endswith(".part")))
+    hidden = [(n, size) for n, size in found if n[0] in "._" and not ours(n)]
     if sum(size for _, size in hidden) > most_hidden_bytes:
         raise ValueError(f"hidden files of {url} have over {most_hidden_bytes} bytes")
     rows = spark.createDataFrame([(n, bytearray(folder.read(n))) for n, _ in hidden] + [(n, bytearray()) for n, size in found if not size and n[0] not in "._"], LISTING)
@@ -63,19 +70,25 @@ def due_writes(state: DataFrame, listing: DataFrame) -> DataFrame:
     return both.select("name", "content", change.alias("change")).filter("change IS NOT NULL")
 
 
-def write_directory(state: DataFrame, url: str) -> int:
+def write_directory(state: DataFrame, url: str, at_once: int = 8) -> int:
     """Bring a directory up to the state; how many files changed. Only changed files travel, a partition
-    at a time; names that would leave the directory are refused."""
+    at a time, and `at_once` files are written side by side; names that would leave the directory are refused."""
     spark = state.sparkSession
-    folder, n = Folder(spark, url), 0
-    for r in due_writes(state, read_directory(spark, url)).orderBy("name").toLocalIterator():
+    folder = Folder(spark, url)
+    due = due_writes(state, read_directory(spark, url))
+
+    def bring(r) -> None:
         if not r["name"] or "/" in r["name"] or r["name"] in (".", ".."):
             raise ValueError(f"no file name: {r['name']!r}")
         if r["change"] == "remove":
             folder.delete(r["name"])
         else:
             folder.write(r["name"], bytes(r["content"]))
-        n += 1
+
+    n, rows = 0, due.toLocalIterator()
+    with ThreadPoolExecutor(at_once) as pool:
+        while some := list(islice(rows, 4 * at_once)):
+            n += len(list(pool.map(bring, some)))
     return n
 
 
