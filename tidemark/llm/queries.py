@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import sql
 from .decontam import op4
 from .html_extract import op5
 from .near_dedup import op1
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
