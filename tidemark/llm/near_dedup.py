@@ -247,17 +247,17 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "rep long, set binary")
 
 
-def _linked(rows: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, across: bool) -> DataFrame:
-    """Links (a, b), a spanning star of each group, among rows (key, bi, bj, code, rep, comp, visits) that share
-    key and blocks."""
+def _partners(rows: DataFrame, reps: DataFrame, across: bool) -> DataFrame:
+    """Of rows (key, bi, bj, code, rep, comp, visits), those with a partner under their key and blocks."""
     full = rows.join(reps.select("rep", "n", "sig").hint("merge"), "rep").select("key", "bi", "bj", "code", "rep", "comp", "visits", "n", "sig")
     full = full.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "visits")
-    members = stage(full.mapInArrow(_find_members(across), "key long, bi int, bj int, rep long"), "members")
-    sets = whole_sets(docs, members.select("rep").distinct())
+    return stage(full.mapInArrow(_find_members(across), "key long, bi int, bj int, rep long"), "members")
+
+
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), a spanning star of each group of members that share key and blocks."""
     fetched = members.join(sets.hint("merge"), "rep").select("key", "bi", "bj", "rep", "set").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
-    out = stage(fetched.mapInArrow(_confirm(percent), "a long, b long"), "edges")
-    release(members)
-    return out
+    return stage(fetched.mapInArrow(_confirm(percent), "a long, b long"), "edges")
 
 
 def _visitors(busy: DataFrame, pivots: int) -> DataFrame:
@@ -296,7 +296,7 @@ def _same_id(sk: DataFrame, reps: DataFrame) -> DataFrame | None:
     return theirs.join(low, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 512, pivots: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 128, pivots: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a row of docs (doc_id, text; other columns are left
     out). Documents are linked where 100 * common >= percent * union of their shingle sets; documents
     without words are linked with nothing. component_id is the smallest doc_id that links reach. A null
@@ -320,17 +320,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 512, pivots
     if hot := not busy.isEmpty():
         first = first.unionByName(_visitors(busy, pivots).select("key", "bi", "code", "rep"))
     first = first.select("key", "bi", F.lit(0).alias("bj"), "code", "rep", F.lit(0).cast("long").alias("comp"), F.lit(0).alias("visits"))
-    edges = _linked(first, reps, docs, percent, False)
+    members = _partners(first, reps, False)
+    wanted = members.select("rep")
+    if hot:
+        wanted = wanted.unionByName(busy.select("rep"))
+    sets = stage(whole_sets(docs, wanted.distinct()), "sets")  # texts are read and shuffled once for both rounds
+    edges = _links(members, sets, percent)
     if (ids := _same_id(sk, reps)) is not None:
         edges = edges.unionByName(ids)
     found = stage(components(edges), "components")
     if hot:
-        more = _linked(_strays(busy, found, block), reps, docs, percent, True)
-        found = stage(components(edges.unionByName(more)), "components")
+        strays = stage(_strays(busy, found, block), "strays")
+        if not strays.isEmpty():
+            more = _partners(strays, reps, True)
+            found = stage(components(edges.unionByName(_links(more, sets, percent))), "components")
+            release(more)
+        release(strays)
     placed = sk.join(reps.select("digest", "rep"), "digest", "left").join(found, F.col("rep") == found["node"], "left")
     component = F.coalesce("component", "rep", "doc_id")
     out = placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    release(met)
+    release(met, members, sets)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
