@@ -292,7 +292,7 @@ def test_op1_many_members_of_one_key(spark):
                 group[i] = group[j] = min(group[i], group[j])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for block, pivots in ((512, 16), (8, 2), (3, 1)):
-        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, block=block, pivots=pivots).collect()}
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, block=block, pivots=pivots, wide=2).collect()}
         assert [got[i] for i in range(len(texts))] == group
 
 

@@ -89,7 +89,7 @@ def test_near_duplicates(docs, rows, empty):
                 if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                     group[i] = group[j] = min(group[i], group[j])
     for block, pivots in ((512, 16), (2, 1)):
-        got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs, block=block, pivots=pivots).collect()}
+        got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs, block=block, pivots=pivots, wide=2).collect()}
         assert {i: r["component_id"] for i, r in got.items()} == group
         assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (group[i] == i) for i, r in got.items())
     assert near_dedup.near_duplicates(empty).count() == 0

@@ -271,18 +271,19 @@ def _block_of(rep: str, key: str, many: str):
     return F.pmod(F.xxhash64(rep, key), F.col(many)).cast("int")
 
 
-def _strays(busy: DataFrame, found: DataFrame, block: int) -> DataFrame:
+def _strays(busy: DataFrame, found: DataFrame, wide: int, block: int) -> DataFrame:
     """Rows for the second round: what is outside its key's largest component, in blocks of its own, against
-    all blocks of the key."""
+    all members of the key. Only signatures meet here, so `wide` blocks of the first round are one."""
     placed = busy.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     top = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), (F.sum("c") - F.max("c")).alias("others")).filter("others > 0")
-    placed = placed.join(top.hint("merge"), "key").withColumn("ns", F.ceil(F.col("others") / block).cast("int"))
+    placed = placed.join(top.hint("merge"), "key").withColumn("ns", F.ceil(F.col("others") / (wide * block)).cast("int"))
+    placed = placed.withColumn("b", F.floor(F.col("b") / wide).cast("int")).withColumn("nb", F.ceil(F.col("nb") / wide).cast("int"))
     of_stray = F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("bj")
     stay = placed.select("key", F.col("b").alias("bi"), of_stray, "code", "rep", "comp", F.lit(0).alias("visits"))
     go = placed.filter("comp <> top").withColumn("bj", F.pmod(F.xxhash64("rep"), F.col("ns")).cast("int"))
-    go = go.select("key", "b", "bj", "code", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bi")).filter("bi <> b")
-    return stay.unionByName(go.drop("b").withColumn("visits", F.lit(1)))
+    go = go.select("key", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bi"), "bj", "code", "rep", "comp", F.lit(1).alias("visits"))
+    return stay.unionByName(go)
 
 
 def _same_id(sk: DataFrame, reps: DataFrame) -> DataFrame | None:
@@ -296,7 +297,7 @@ def _same_id(sk: DataFrame, reps: DataFrame) -> DataFrame | None:
     return theirs.join(low, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 128, pivots: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 128, pivots: int = 8, wide: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a row of docs (doc_id, text; other columns are left
     out). Documents are linked where 100 * common >= percent * union of their shingle sets; documents
     without words are linked with nothing. component_id is the smallest doc_id that links reach. A null
@@ -305,7 +306,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 128, pivots
 
     percent: 75 at least; signatures and the size filter are made for that, and lower ones would lose pairs.
     block: about how many members of one key a task compares at once. pivots: members of a larger key that
-    are compared with all its blocks in the first round."""
+    are compared with all its blocks in the first round. wide: how many blocks the second round takes as one."""
     if percent < LEAST_PERCENT:
         raise ValueError(f"percent is {percent}; pairs below {LEAST_PERCENT} percent are not all found")
     sk = stage(sketch(docs), "sketch")
@@ -330,7 +331,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 128, pivots
         edges = edges.unionByName(ids)
     found = stage(components(edges), "components")
     if hot:
-        strays = stage(_strays(busy, found, block), "strays")
+        strays = stage(_strays(busy, found, wide, block), "strays")
         if not strays.isEmpty():
             more = _partners(strays, reps, True)
             found = stage(components(edges.unionByName(_links(more, sets, percent))), "components")
