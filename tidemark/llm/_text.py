@@ -54,7 +54,7 @@ class Rolling:
         return mix(x + (end - start).astype(np.uint64))
 
 
-def blocks(column: pa.Array, limit: int = 1 << 21):
+def blocks(column: pa.Array, limit: int = 1 << 19):
     """(first row, end row, bytes, offsets) of consecutive rows of a string column, about limit
     bytes each and one row at least, so that work on a block has bounded memory. Null is empty."""
     a = pc.fill_null(column, "").cast(pa.large_string())

@@ -269,7 +269,7 @@ def _compare(rows: DataFrame, least: int, gram: int, load: int) -> DataFrame:
     return rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(compare, "o long, s long, e long")
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, most: int = 1 << 12, load: int = 1 << 21) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = LEAST, most: int = 1 << 12, load: int = 1 << 20) -> DataFrame:
     """(o, s, e): bytes s to e-1 of text o are covered by strings of `least` bytes that start earlier too.
     docs: (o, text). Spans may overlap.
 
