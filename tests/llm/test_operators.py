@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -375,6 +376,22 @@ def test_toxicity_windows_hold_every_run_of_half_a_window():
                 assert ((start[own] <= at + k) & (end[own] >= at + min(k + 16, size))).any()
 
 
+def test_toxicity_words_take_little_memory(monkeypatch):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 3 + k % 6)) for k in range(3000)]
+    raw = [" ".join(rng.choice(vocabulary, 1500)).encode() for _ in range(400)]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
+    tracemalloc.start()
+    w = toxicity.Words(data, offs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(data)
+    monkeypatch.setattr(toxicity, "STRIP", len(data))
+    whole = toxicity.Words(data, offs)
+    for name in ("first", "hash", "back", "at", "grams"):
+        assert np.array_equal(getattr(w, name), getattr(whole, name))
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     w = toxicity.Words(np.frombuffer(b"a b c d e f g h", np.uint8), np.array([0, 15]))

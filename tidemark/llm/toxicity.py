@@ -16,10 +16,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import LOWER, Rolling, batch, blocks, ranges, words
+from ._text import LOWER, Rolling, batch, blocks, distinct, ranges, words
 
 WIDTH, STEP = 32, 16
 BUCKETS = 4096
+#: Bytes of text whose words are hashed at once; work space is some fifty bytes a byte.
+STRIP = 1 << 19
 #: ASCII marks count as white space here, but letters are lower-cased first.
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(33, 127) if not chr(b).isalnum()]] = 32
@@ -31,8 +33,20 @@ class Words:
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         data = _FOLD[data]
         s, e, self.first = words(data, offs)
-        h = Rolling(data).spans(s, e) if len(data) else np.zeros(0, np.uint64)
-        self.hash, one, self.back = np.unique(h, return_index=True, return_inverse=True)
+        hashes, ones, backs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        i = 0
+        while i < len(s):
+            j = max(i + 1, int(np.searchsorted(e, s[i] + STRIP, "right")))
+            h = Rolling(data[s[i] : e[j - 1]]).spans(s[i:j] - s[i], e[i:j] - s[i])
+            h, one, back = np.unique(h, return_index=True, return_inverse=True)
+            hashes.append(h)
+            ones.append(one + i)
+            backs.append(back.astype(np.int32))
+            i = j
+        self.hash, one, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        place, begin = place.astype(np.int32), np.cumsum([len(h) for h in hashes])
+        self.back = np.concatenate([np.zeros(0, np.int32), *(place[k:][back] for k, back in zip(begin[:-1], backs, strict=True))])
+        one = np.concatenate(ones)[one]
         s, e = s[one], e[one]
         size = e - s + 2  # "<word>"
         self.at = np.append(0, np.cumsum(size))
@@ -182,10 +196,12 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 2,
     raw = [t.encode() for t in texts]
     offs = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
     w = Words(np.frombuffer(b"".join(raw), np.uint8), offs)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    seen = np.unique(np.stack([text_of, w.back], 1), axis=0)
-    df = np.bincount(seen[:, 1], minlength=len(w.hash))
-    bad = np.bincount(seen[:, 1], weights=labels[seen[:, 0]], minlength=len(w.hash))
+    del raw
+    df, bad = np.zeros(len(w.hash), np.int64), np.zeros(len(w.hash))
+    for y, a, b in zip(labels.tolist(), w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+        own = distinct(w.back[a:b])
+        df[own] += 1
+        bad[own] += y
     net = Network(w.hash[(df >= 4)], rng)
     rate_all = labels.mean()
     odds = np.log((bad + 0.5 * rate_all) / (df - bad + 0.5 * (1 - rate_all)))
