@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import sys
 import tracemalloc
 import zlib
 
@@ -65,6 +66,21 @@ def test_tokens_equal_the_library():
             assert ids[at[r - i] : at[r - i + 1]].tolist() == coder.tokenizer.encode(texts[r], add_special_tokens=False).ids
 
 
+def test_new_pieces_cost_no_python_call_each():
+    letters = "abcdefghijklmnopqrstéÖßÿ"
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(4000)) + " × ÷ a×b é÷ö \u017f 12 don't"
+    coder, calls = Encoder(token_shards.VOCABULARY), collections.Counter()
+    data = np.frombuffer(text.encode(), np.uint8)
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        ids, _ = coder.encode(data, np.array([0, len(data)]))
+    finally:
+        sys.setprofile(None)
+    assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert calls["call"] < 1000 < coder.slots.n
+
+
 def test_added_tokens_equal_a_fresh_library():
     from tokenizers import Tokenizer
 

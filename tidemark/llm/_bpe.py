@@ -20,7 +20,7 @@ from ._text import SPACE, Rolling, ranges
 _PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _REST = [b for b in range(256) if b not in _PRINT]
 _ALPHABET = dict(zip(_PRINT + _REST, [*_PRINT, *range(256, 256 + len(_REST))], strict=True))
-_STEM = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SHOWN = np.array([_ALPHABET[b] for b in range(256)], "<u4")
 #: White space outside ASCII, in UTF-8 (fixed values).
 _ODD = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
@@ -33,6 +33,15 @@ _CLASS[[b for b in range(128) if chr(b).isalpha()]] = _LETTER
 _CLASS[0xC3], _CLASS[0x80:0xC0] = _LEAD, _TRAIL
 
 
+def stems(data: np.ndarray) -> np.ndarray:
+    """Which bytes of a text are part of A-Z, a-z or one of À-ÖØ-öø-ÿ."""
+    kind = _CLASS[data]
+    out = kind == _LETTER
+    lead = np.flatnonzero((data[:-1] == 0xC3) & (kind[1:] == _TRAIL) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    out[lead] = out[lead + 1] = True
+    return out
+
+
 class Slots:
     """Open-addressing table from 64-bit hashes to numbers 0, 1, ... in order of arrival."""
 
@@ -96,16 +105,23 @@ class Encoder:
         self.slots = Slots(self.kept)
         self.flat, self.start, self.size = array("I"), array("q"), array("q")
 
-    def _encode(self, raw: bytes) -> list[int]:
-        if raw.isascii():
-            s = raw.decode("ascii")
-            if (s[1:] if s[0] == " " else s).isalpha() and not self.letters:  # one pre-token
-                return [t.id for t in self.model.tokenize(s.replace(" ", chr(_ALPHABET[32])))]
-            return self.tokenizer.encode(s, add_special_tokens=False).ids
-        s = raw.decode("utf-8", "replace")
-        if _STEM.fullmatch(s) and not (self.added and self.added.search(raw)):
-            return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(_ALPHABET))]
-        return self.tokenizer.encode(s, add_special_tokens=False).ids
+    def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Keep the ids of these pieces. One of letters alone, with a space before them or not, is one pre-token."""
+        raw, shown = data.tobytes(), _SHOWN[data].tobytes().decode("utf-32-le")
+        if self.letters:
+            stem = np.zeros(len(start), bool)
+        else:
+            first = start + (data[start] == 32)
+            letters = np.append(0, np.cumsum(stems(data)))
+            stem = (letters[end] - letters[first] == end - first) & (first < end)
+        tokenize, encode, flat = self.model.tokenize, self.tokenizer.encode, self.flat
+        for one, i, j in zip(stem.tolist(), start.tolist(), end.tolist(), strict=True):
+            self.start.append(len(flat))
+            if one:
+                flat.extend([t.id for t in tokenize(shown[i:j])])
+            else:
+                flat.extend(encode(raw[i:j].decode("utf-8", "replace"), add_special_tokens=False).ids)
+            self.size.append(len(flat) - self.start[-1])
 
     def _added(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
         """Where added tokens lie, from the left of each text; none crosses a text's end."""
@@ -167,12 +183,7 @@ class Encoder:
                 self._forget()
             before = self.slots.n
             self.slots.add(found)
-            raw = data.tobytes()
-            for i, j in zip(s[miss[first]].tolist(), e[miss[first]].tolist(), strict=True):
-                ids = self._encode(raw[i:j])
-                self.start.append(len(self.flat))
-                self.size.append(len(ids))
-                self.flat.extend(ids)
+            self._encode(data, s[miss[first]], e[miss[first]])
             slot[miss] = before + back
         size = np.frombuffer(self.size, np.int64)[slot]
         ids = np.frombuffer(self.flat, np.uint32)[ranges(np.frombuffer(self.start, np.int64)[slot], size)]

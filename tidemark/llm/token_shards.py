@@ -36,12 +36,6 @@ _FILES = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.i
 _DOCS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def _merged(*runs: np.ndarray) -> np.ndarray:
-    """Different values of ascending runs, in order."""
-    x = np.sort(np.concatenate(runs), kind="stable")
-    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
-
-
 class Pairs:
     """A sequence in place, with links over what was taken out, and its frequent pairs of neighbours.
 
@@ -59,31 +53,31 @@ class Pairs:
         self.places, self.used = np.empty(3 * n, np.int32), 0  # of each pair; a replacement adds two at most
         self.begin, self.size, self.count, self.pair = (np.zeros(0, np.int64) for _ in range(4))
         self.top, self.place_bits = int(symbols.max(initial=0)), max(1, n.bit_length())
-        self._add(np.arange(n, dtype=np.int32))
+        self._add(np.flatnonzero(~self.last).astype(np.int32))
 
     def _add(self, at: np.ndarray) -> None:
-        """Number the frequent ones among the pairs that begin at these places."""
-        at = at[~self.last[at]]
+        """Number the frequent ones among the pairs that begin at these places, none of them last."""
         bits = max(1, self.top.bit_length())
-        key = self.s[at].astype(np.uint64) << np.uint64(bits) | self.s[self.next[at]]
-        if len(at) > 1 << 12:  # most are rare: sort only those that share a bucket with enough others
-            wide = max(12, min(22, len(at).bit_length()))
-            bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - wide)).astype(np.int32)
-            often = np.bincount(bucket, minlength=1 << wide)[bucket] >= self.least
-            at, key = at[often], key[often]
+        key = self.s[at].astype(np.uint64)
+        key <<= np.uint64(bits)
+        key |= self.s[self.next[at]]
         if 2 * bits + self.place_bits <= 64:  # pair and place in one number sort faster than by reference
-            both = np.sort(key << np.uint64(self.place_bits) | at.astype(np.uint64))
-            key, at = both >> np.uint64(self.place_bits), (both & np.uint64((1 << self.place_bits) - 1)).astype(np.int32)
+            key <<= np.uint64(self.place_bits)
+            key |= at.astype(np.uint64)
+            key.sort()
+            at = (key & np.uint64((1 << self.place_bits) - 1)).astype(np.int32)
+            key >>= np.uint64(self.place_bits)
         else:
             order = np.argsort(key)
             at, key = at[order], key[order]
         edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(edge, len(key)))
-        edge, size = edge[size >= self.least], size[size >= self.least]
+        often = size >= self.least
+        at = at[np.repeat(often, size)]
+        edge, size = edge[often], size[often]
         left = (key[edge] >> np.uint64(bits)).astype(np.int64)
         self.pair = np.append(self.pair, left << 32 | (key[edge] & np.uint64((1 << bits) - 1)).astype(np.int64))
-        at = at[ranges(edge, size)]
-        self.of[at] = np.repeat(np.arange(len(self.size), len(self.size) + len(size)), size)
+        self.of[at] = np.repeat(np.arange(len(self.size), len(self.size) + len(size), dtype=np.int32), size)
         self.places[self.used : self.used + len(at)] = at
         self.begin = np.append(self.begin, self.used + np.cumsum(size) - size)
         self.size, self.count = np.append(self.size, size), np.append(self.count, size)
@@ -102,19 +96,19 @@ class Pairs:
         hits = np.sort(hits[still])
         fresh = np.append(True, self.next[hits[:-1]] != hits[1:])
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(hits)), 0))
-        hits = hits[(np.arange(len(hits)) - run) % 2 == 0]
-        second = self.next[hits]
+        hits = hits[(np.arange(len(hits)) - run) & 1 == 0]
+        second, before = self.next[hits], self.prev[hits]
         which = np.flatnonzero(np.bincount(self.of[hits], minlength=len(self.count)))
-        number = np.zeros(len(self.count), np.int64)
-        number[which] = np.arange(len(which))
+        number = np.zeros(len(self.count), np.uint32)
+        number[which] = np.arange(symbol, symbol + len(which))
         number = number[self.of[hits]]
         rules = np.stack([self.pair[which] >> 32, self.pair[which] & 0xFFFFFFFF], axis=1)
         self.top = max(self.top, symbol + len(which))
-        changed = _merged(hits, second, self.prev[hits[hits > 0]])
-        changed = changed[self.of[changed] >= 0]
-        self.count -= np.bincount(self.of[changed], minlength=len(self.count))
-        self.of[changed] = -1
-        self.s[hits] = symbol + number
+        for changed in (hits, second, before[before >= 0]):  # a place may be in two of them, and counts in the first
+            own = self.of[changed]
+            self.count -= np.bincount(own[own >= 0], minlength=len(self.count))
+            self.of[changed] = -1
+        self.s[hits] = number
         self.out[second] = True
         self.last[hits] = self.last[second]
         after = self.next[second]
@@ -122,7 +116,10 @@ class Pairs:
         inside = after < len(self.s)
         self.prev[after[inside]] = hits[inside]
         before = self.prev[hits]
-        self._add(_merged(hits, before[before >= 0]))
+        before = before[before >= 0]
+        before = before[self.s[before] < symbol]  # the others are hits too
+        at = np.concatenate([hits, before])
+        self._add(at[~self.last[at]])
         return rules
 
 
