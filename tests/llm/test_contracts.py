@@ -296,6 +296,19 @@ def test_op1_many_members_of_one_key(spark):
         assert [got[i] for i in range(len(texts))] == group
 
 
+def test_op1_places_the_members_of_large_keys_once(spark, monkeypatch):
+    busy = spark.createDataFrame([(k, k, r, 2, r % 2) for k in (1, 2) for r in range(6)], "key long, code int, rep long, nb int, b int")
+    found = spark.createDataFrame([(r, 0) for r in range(4)], "node long, component long")
+    plans, keep = [], near_dedup.stage
+    monkeypatch.setattr(near_dedup, "stage", lambda df, name: (plans.append(df), keep(df, name))[1])
+    out = near_dedup._strays(busy, found, 16, 128)
+    joins = sum(df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") for df in [*plans, out])
+    rows = {(r["key"], r["rep"], r["comp"], r["visits"]) for r in out.collect()}
+    both = [(r, 0 if r < 4 else r) for r in range(6)]
+    assert rows == {(k, r, c, 0) for k in (1, 2) for r, c in both} | {(k, r, c, 1) for k in (1, 2) for r, c in both if r >= 4}
+    assert joins == 1
+
+
 def test_op10_keeps_columns_of_any_name(spark, odd):
     got = span_dedup.remove_repeats(odd).collect()
     assert len(got) == len(ODD)

@@ -272,9 +272,10 @@ def _block_of(rep: str, key: str, many: str):
 
 
 def _strays(busy: DataFrame, found: DataFrame, wide: int, block: int) -> DataFrame:
-    """Rows for the second round: what is outside its key's largest component, in blocks of its own, against
-    all members of the key. Only signatures meet here, so `wide` blocks of the first round are one."""
+    """Rows for the second round, staged: what is outside its key's largest component, in blocks of its own,
+    against all members of the key. Only signatures meet here, so `wide` blocks of the first round are one."""
     placed = busy.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    known = placed = stage(placed, "placed")  # read several times below, so joined once
     by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     top = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), (F.sum("c") - F.max("c")).alias("others")).filter("others > 0")
     placed = placed.join(top.hint("merge"), "key").withColumn("ns", F.ceil(F.col("others") / (wide * block)).cast("int"))
@@ -283,7 +284,9 @@ def _strays(busy: DataFrame, found: DataFrame, wide: int, block: int) -> DataFra
     stay = placed.select("key", F.col("b").alias("bi"), of_stray, "code", "rep", "comp", F.lit(0).alias("visits"))
     go = placed.filter("comp <> top").withColumn("bj", F.pmod(F.xxhash64("rep"), F.col("ns")).cast("int"))
     go = go.select("key", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bi"), "bj", "code", "rep", "comp", F.lit(1).alias("visits"))
-    return stay.unionByName(go)
+    out = stage(stay.unionByName(go), "strays")
+    release(known)
+    return out
 
 
 def _same_id(sk: DataFrame, reps: DataFrame) -> DataFrame | None:
@@ -331,7 +334,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 128, pivots
         edges = edges.unionByName(ids)
     found = stage(components(edges), "components")
     if hot:
-        strays = stage(_strays(busy, found, wide, block), "strays")
+        strays = _strays(busy, found, wide, block)
         if not strays.isEmpty():
             more = _partners(strays, reps, True)
             found = stage(components(edges.unionByName(_links(more, sets, percent))), "components")
