@@ -108,3 +108,19 @@ def test_nothing_is_refused_where_the_sql_refuses_nothing(spark, monkeypatch, na
     monkeypatch.setattr(Replica, "merge_batch", lambda self, *args, **more: (seen.append(self.config.limits), merged(self, *args, **more))[1])
     registered.queries()[name](spark, SF).collect()
     assert seen and all(x.max_keys == x.max_total_bytes == 1 << 60 for x in seen)
+
+
+@pytest.mark.parametrize("name", ["sync_applied_answer", "sync_served_answer"])
+def test_messages_of_whole_states_have_no_budget(spark, monkeypatch, name):
+    seen, asked = [], Replica.prepare_sync
+    monkeypatch.setattr(Replica, "prepare_sync", lambda self, peer: (seen.append((self.config.max_entries, self.config.max_bytes)), asked(self, peer))[1])
+    registered.queries()[name](spark, SF).collect()
+    assert seen == [(None, None)]
+
+
+def test_a_page_without_a_budget_is_all(spark):
+    a, b = sides(spark, max_entries=None, max_bytes=None)
+    e = b.handle(a.prepare_sync(2))
+    assert e.page is None and e.cursor is None and e.entries.count() == 40
+    a, b = sides(spark, max_entries=None, max_bytes=1 << 20)
+    assert len(b.handle(a.prepare_sync(2)).rows()) == 40 and sync_round(a, b).merged == 40
