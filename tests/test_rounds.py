@@ -124,3 +124,12 @@ def test_a_page_without_a_budget_is_all(spark):
     assert e.page is None and e.cursor is None and e.entries.count() == 40
     a, b = sides(spark, max_entries=None, max_bytes=1 << 20)
     assert len(b.handle(a.prepare_sync(2)).rows()) == 40 and sync_round(a, b).merged == 40
+
+
+def test_loops_wait_for_long_rounds(spark, monkeypatch):
+    """Rounds may take longer than any fixed time: only the clock of the query is moved here."""
+    import time
+
+    real, began = time.monotonic, []
+    monkeypatch.setattr(time, "monotonic", lambda: real() + 1000 * len(began.append(0) or began))
+    assert [tuple(r) for r in registered.queries()["loops_converge"](spark, SF).collect()] == [(registered.state(spark, SF).count(), True)]
